@@ -68,3 +68,22 @@ def salted_group_stats(
 def dominant_keys(stats: DataFrame, key: str, share: float) -> DataFrame:
     """Rows of ``salted_group_stats`` whose key holds more than ``share`` of all rows."""
     return stats.where(F.col("n_rows") > stats.agg(F.sum("n_rows")).scalar() * F.lit(float(share)))
+
+
+def salted_lookup(df: DataFrame, key: str, spread: Column, dim: DataFrame, dim_key: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``dim`` on ``key = dim_key``, a heavy key's rows spread over its salts.
+
+    Only the rows of ``dim`` with a heavy key are repeated, once for each salt. ``df`` leaves partitioned
+    by (key, salt) and keeps its ``salt`` column; ``dim`` may have any size. ``dim_key`` leaves the result.
+    """
+    salted = with_salt(df, key, spread, heavy)
+    h = heavy.select(F.col(key).alias("__hk"), F.col("n_salts").alias("__n"))
+    each = F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1)
+    wide = (
+        dim.join(F.broadcast(h), F.col(dim_key) == F.col("__hk"), "left")
+        .withColumn("__dim_salt", F.explode(each))
+        .withColumnRenamed(dim_key, "__dim_key")
+        .drop("__hk", "__n")
+    )
+    on = (F.col(key) == F.col("__dim_key")) & (F.col("salt") == F.col("__dim_salt"))
+    return salted.join(wide, on, how).drop("__dim_key", "__dim_salt")

@@ -28,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder, its lineage gone."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if a count proves that it has at most ``max_rows`` rows, else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
