@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.llm.lookalike import canonical_texts, lookalike_pairs
 from lexquarry.llm.mixing import mix_documents
 from lexquarry.llm.packing import container_report, pack_documents, split_by_packing
 from lexquarry.llm.splitting import split_documents
@@ -29,6 +30,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_postings(table(spark, d, "doclist")).select("term_id", "doc_id", "rnk")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "wordlist").select(F.lit("wordlist.term").alias("field_name"), F.col("id").alias("key"), F.col("term").alias("text"))
+    bodies = table(spark, d, "documents").select(F.lit("documents.body").alias("field_name"), F.col("doc_id").alias("key"), F.col("body").alias("text"))
+    return words.unionByName(bodies.where(F.trim("text") != ""))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike_pairs(canonical_texts(_texts(spark, d), keep_text=False))
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_texts(_texts(spark, d)).select("field_name", "key", "form", F.hex("look").alias("look"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "source_plan"))
 
@@ -67,7 +82,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stats, p4_found, p7_found, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_pieces)
+    for f in (p1_found, p1_stats, p4_found, p6_found, p6_forms, p7_found, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_pieces)
 }
 
 _TERMS = """
