@@ -35,3 +35,26 @@ def bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the session's Python workers, once, so that they can import it on any machine.
+
+    Spark serves the archive from the driver; it holds code only.
+    """
+    import atexit
+    import shutil
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lexquarry_shipped", False):
+        return
+    root, d = Path(__file__).resolve().parents[1], tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = os.path.join(d, "lexquarry.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._lexquarry_shipped = True
