@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.llm.langid import detect_languages, fit_with_documents, labelled, languages_of, wrong_labels
 from lexquarry.llm.lookalike import canonical_texts, lookalike_pairs
 from lexquarry.llm.mixing import mix_documents
 from lexquarry.llm.packing import container_report, pack_documents, split_by_packing
@@ -30,6 +31,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_postings(table(spark, d, "doclist")).select("term_id", "doc_id", "rnk")
 
 
+def _languages(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    documents = labelled(table(spark, d, "documents"), table(spark, d, "info"))
+    return detect_languages(documents, fit_with_documents(table(spark, d, "lang_samples"), documents), keep=keep)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_labels(languages_of(_languages(spark, d, "label"), keep=("label",)))
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language with its confidence."""
+    return _languages(spark, d).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every document with shares and confidences, largest first."""
+    langs = languages_of(_languages(spark, d, "label"), keep=("label",))
+    return langs.select("doc_id", "label", F.posexplode("langs").alias("place", "l")).select("doc_id", "label", "place", "l.*")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "wordlist").select(F.lit("wordlist.term").alias("field_name"), F.col("id").alias("key"), F.col("term").alias("text"))
     bodies = table(spark, d, "documents").select(F.lit("documents.body").alias("field_name"), F.col("doc_id").alias("key"), F.col("body").alias("text"))
@@ -82,7 +103,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stats, p4_found, p6_found, p6_forms, p7_found, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_pieces)
+    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p7_found, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_pieces)
 }
 
 _TERMS = """
