@@ -11,8 +11,8 @@ confidences are probabilities, and the confidence below which a stretch is rejec
 
 from __future__ import annotations
 
-import math
 import random
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -41,13 +41,16 @@ STRETCH = 16
 WANTED_PRECISION = 0.998
 
 _HAN_KANA = "぀-ヿ㐀-鿿々"
-_TOKEN = regex.compile(rf"[{_HAN_KANA}]|(?:(?![{_HAN_KANA}])[\p{{L}}\p{{M}}])+")
+_TOKEN = re.compile(rf"[{_HAN_KANA}]|[^\W\d_{_HAN_KANA}]+")
 #: Where a stretch may end: after a sentence or line, or after a comma before a word that could begin a sentence.
 _END = regex.compile(rf"[.!?。！？…\n]+|[,;:]\s+(?=[\p{{Lu}}{_HAN_KANA}])")
 
 
+_WIDE = re.compile(f"[{_HAN_KANA}]")
+
+
 def _features(word: str) -> list[int]:
-    if len(word) == 1 and regex.match(f"[{_HAN_KANA}]", word):
+    if len(word) == 1 and _WIDE.match(word):
         kind = "kana" if word < "㐀" else "han"
         return [zlib.crc32(word.encode()) % BUCKETS, zlib.crc32(kind.encode()) % BUCKETS]
     w = f"<{word}>"

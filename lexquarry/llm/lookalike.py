@@ -12,6 +12,7 @@ texts are compared by: equal looks, and only they, are equal.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -86,9 +87,9 @@ def _plain_forms() -> dict[int, str]:
 
 
 PLAIN = _plain_forms()
-_ANY_PLAIN = regex.compile("[" + "".join(regex.escape(chr(c)) for c in PLAIN) + "]")
-_ANY_LOOK = regex.compile("[" + "".join(map(chr, LOOK)) + "]")
-_ANY_FOREIGN = regex.compile("[" + "".join(chr(c) for c in LOOK if c < 0x3000) + "]")
+_ANY_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in PLAIN) + "]")
+_ANY_LOOK = re.compile("[" + "".join(map(chr, LOOK)) + "]")
+_ANY_FOREIGN = re.compile("[" + "".join(chr(c) for c in LOOK if c < 0x3000) + "]")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _SCRIPTS = {
     "latin": regex.compile(r"[\p{Script=Latin}--\p{Block=IPA_Extensions}]", regex.V1),
