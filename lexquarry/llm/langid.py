@@ -180,18 +180,21 @@ def fit_on(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> Model:
 def fit_with_documents(samples: DataFrame, documents: DataFrame, max_samples: int = MAX_SAMPLES, max_documents: int = MAX_DOCUMENTS) -> Model:
     """The model of the samples, fitted again with sentences of at most ``max_documents`` labelled documents.
 
-    Of ``documents`` (with ``label`` from ``labelled``), the first by a hash of doc_id take part among
-    those of at most ``MAX_BODY`` characters. A document teaches only if its label agrees with the first model about
+    Of ``documents`` (with ``label`` from ``labelled``), those whose hashed doc_id lies below the share that gives about
+    ``max_documents`` take part, if they have at most ``MAX_BODY`` characters. A document teaches only if its label agrees with the first model about
     nearly all of its letters; then all its sentences do, also those that the first model takes for another language.
     """
     first = fit_on(samples, max_samples)
+    share = min(1.0, max_documents / max(1, documents.count()))
+    of = 1 << 30
     rows = (
-        documents.where(F.col("label").isin(list(first.langs)) & F.col("body").isNotNull() & (F.length("body") <= MAX_BODY))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        documents.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(of)) < int(share * of))
+        .where(F.col("label").isin(list(first.langs)) & F.col("body").isNotNull() & (F.length("body") <= MAX_BODY))
         .limit(max_documents)
-        .select("label", "body")
+        .select("doc_id", "label", "body")
         .collect()
     )
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["label"], r["body"]))
     words = _Words(first)
     taught: dict[str, list[str]] = {}
     for at in range(0, len(rows), 256):
