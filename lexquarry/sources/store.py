@@ -115,7 +115,7 @@ class Store:
         stats = self.spark.createDataFrame([(n, manifest.total_length / n if n else 0.0)], "total_documents bigint, avg_doc_length double")
         return IndexTables(
             postings.select("term", "doc_id", "hit_count"),
-            postings.select("term", "doc_id", F.explode("positions").cast("bigint").alias("position")),
+            postings.select("term", "doc_id", F.explode(F.col("positions").cast("array<bigint>")).alias("position")),
             lexicon,
             self.documents(manifest).select("doc_id", "length"),
             stats,
