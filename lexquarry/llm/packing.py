@@ -89,8 +89,8 @@ def pack_documents(documents: DataFrame, plan: DataFrame, size: str | None = Non
     wanted = plan.where(F.col("source").isNotNull() & (F.col("capacity") >= 1)).groupBy("source").agg(F.max("capacity").cast("bigint").alias("capacity"))
     sized = (
         documents.where(F.col("doc_id").isNotNull())
+        .select("source", "doc_id", tokens.alias("tokens"))
         .join(bounded(wanted), "source")
-        .select("source", "capacity", "doc_id", tokens.alias("tokens"))
         .groupBy("source", "capacity", "doc_id")
         .agg(F.max("tokens").alias("tokens"))
     )
