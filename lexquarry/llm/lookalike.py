@@ -89,7 +89,9 @@ def _plain_forms() -> dict[int, str]:
 PLAIN = _plain_forms()
 _ANY_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in PLAIN) + "]")
 _ANY_LOOK = re.compile("[" + "".join(map(chr, LOOK)) + "]")
-_ANY_FOREIGN = re.compile("[" + "".join(chr(c) for c in LOOK if c < 0x3000) + "]")
+#: Alphabets that have look-alike letters, and the letters that have or are twins.
+_ANY_FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f\u1f00-\u1fff]")
+_ANY_TWIN = re.compile("[" + "".join(sorted({x for c, b in LOOK.items() if c < 0x3000 for x in (chr(c), b[0])})) + "]")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _SCRIPTS = {
     "latin": regex.compile(r"[\p{Script=Latin}--\p{Block=IPA_Extensions}]", regex.V1),
@@ -123,7 +125,7 @@ def mixed_tokens(text: str) -> list[str]:
     """Distinct tokens of a normalised text that mix alphabets and hold a look-alike letter."""
     if text.isascii() or not _ANY_FOREIGN.search(text):
         return []
-    return [t for t in dict.fromkeys(_LETTERS.findall(text)) if not t.isascii() and len(scripts_of(t)) > 1 and _ANY_FOREIGN.search(t)]
+    return [t for t in dict.fromkeys(_LETTERS.findall(text)) if not t.isascii() and len(scripts_of(t)) > 1 and _ANY_TWIN.search(t)]
 
 
 @lru_cache(100_000)
