@@ -212,6 +212,8 @@ class SearchIndex:
         return self.spark.createDataFrame(out, _PREPARED)
 
     def _known(self, ids: DataFrame) -> DataFrame:
+        if not self._manifest.total_documents:
+            return ids.limit(0)
         return ids.join(self._store.documents(self._manifest).select("doc_id"), "doc_id", "left_semi")
 
     @staticmethod

@@ -17,15 +17,23 @@ DECIMALS = 6
 def fetch(index: IndexTables, terms: DataFrame, config: Config, fuzzy: bool) -> DataFrame:
     """``query_id, kw_idx, term, doc_id, hit_count, df``: of each keyword's postings the ``max_docs`` with most hits.
 
-    The cap is taken before any other join; its ranking starts on each task's own rows, so of a frequent
-    term no more than ``max_docs`` rows of a task are moved. With ``fuzzy`` closer terms come first.
+    A keyword can use no more than ``max_docs`` postings of a term, so terms are capped first, once for all
+    queries that share them, and only then meet the keywords. Either ranking starts on each task's own rows:
+    of a frequent term no more than ``max_docs`` rows of a task are moved. With ``fuzzy`` closer terms come first.
     """
     by_kw = Window.partitionBy("query_id", "kw_idx")
     wanted = terms.withColumn("df", F.sum("num_docs").over(by_kw)).select("query_id", "kw_idx", "term", "rnk", "df")
+    by_term = Window.partitionBy("term").orderBy(F.col("hit_count").desc(), "doc_id")
+    best = (
+        index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        .withColumn("r", F.row_number().over(by_term))
+        .where(F.col("r") <= config.max_docs)
+        .drop("r")
+    )
     order = [F.col("hit_count").desc(), F.col("rnk"), F.col("doc_id")]
     if fuzzy:
         order = [order[1], order[0], order[2]]
-    hits = index.postings.join(wanted, "term")
+    hits = best.join(wanted, "term")
     return hits.withColumn("r", F.row_number().over(by_kw.orderBy(*order))).where(F.col("r") <= config.max_docs).drop("r", "rnk")
 
 
@@ -50,7 +58,6 @@ def min_spans(index: IndexTables, fetched: DataFrame, docs: DataFrame, n_groups:
     window ends here and begins at the earliest of these. A term of two keywords belongs to the last. Queries with one
     keyword, and documents without one of them, have no row. ``n_groups``: keywords of the longest query.
     """
-    per_query = Window.partitionBy("query_id")
     groups = fetched.groupBy("query_id", "term").agg(F.max("kw_idx").alias("g"))
     needed = fetched.select("query_id", "kw_idx").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("needed")).where(F.col("needed") > 1)
     terms = groups.join(needed, "query_id")
@@ -60,7 +67,6 @@ def min_spans(index: IndexTables, fetched: DataFrame, docs: DataFrame, n_groups:
     seen = reduce(lambda x, y: x + y, [F.col(f"l{g}").isNotNull().cast("int") for g in range(n_groups)])
     spans = rows.select("query_id", "doc_id", "position", "needed", *[c.alias(f"l{g}") for g, c in enumerate(last)])
     first = F.least(*[F.col(f"l{g}") for g in range(n_groups)]) if n_groups > 1 else F.col("l0")
-    del per_query
     return spans.where(seen == F.col("needed")).groupBy("query_id", "doc_id").agg(F.min(F.col("position") - first).alias("min_span"))
 
 

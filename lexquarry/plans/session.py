@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,18 @@ def bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the session runs tasks; as it is where it has them already.
+
+    For work that is heavy per row on input that came in few files. Larger inputs are not moved, nor is
+    what a shuffle has spread already.
+    """
+    if re.search(r"\b(Aggregate|Join|Window|Sort|Repartition\w*|Deduplicate)\b", df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def ship(spark: SparkSession) -> None:
     """Hands this package to the session's Python workers, once, so that they can import it on any machine.
 

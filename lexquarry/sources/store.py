@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.errors import IndexIOError
 from lexquarry.operators.build import Analyzer, IndexTables, token_rows
+from lexquarry.plans.session import spread
 from lexquarry.sources.files import Files
 
 _KIND = "inverted-index"
@@ -137,7 +138,7 @@ class Store:
         if docs is not None:
             tokens = F.flatten(F.transform("texts", lambda t: analyzer.filtered(t)))
             data = F.col("data") if manifest.store else F.lit(None).cast("string")
-            tokens_of = docs.select("doc_id", tokens.alias("tokens"), data.alias("data"))
+            tokens_of = spread(docs).select("doc_id", tokens.alias("tokens"), data.alias("data"))
             tokens_of.select("doc_id", F.size("tokens").cast("bigint").alias("length"), "data").write.parquet(f"{at}/docs")
             postings = token_rows(tokens_of.select("doc_id", "tokens"), analyzer).groupBy("term", "doc_id").agg(
                 F.count(F.lit(1)).alias("hit_count"), F.sort_array(F.collect_list("position")).alias("positions")
