@@ -96,7 +96,8 @@ def split_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
     large = rows.where((F.length("__text") > limit) & (token_count(F.col("__text")) > limit))
-    pieces = large.withColumn("p", cut_up("__text")).select("doc_id", "__text", F.size("p").alias("n_pieces"), F.explode("p").alias("p"))
+    # Called non-deterministic so that the plan does not evaluate it once for each use of its result.
+    pieces = large.withColumn("p", cut_up.asNondeterministic()("__text")).select("doc_id", "__text", F.size("p").alias("n_pieces"), F.explode("p").alias("p"))
     return pieces.select(
         "doc_id",
         "p.piece_no",
