@@ -360,7 +360,8 @@ def detect_languages(documents: DataFrame, model: Model, key: str = "doc_id", te
     table gives no rows. Columns not named are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    detector = F.arrow_udf(_detector(shared), _OUT)
+    # Called non-deterministic so that the plan does not evaluate it once for each use of its result.
+    detector = F.arrow_udf(_detector(shared), _OUT).asNondeterministic()
     return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"), *keep).select("doc_id", detector("__text").alias("segments"), *keep)
 
 
