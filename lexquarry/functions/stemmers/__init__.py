@@ -17,18 +17,31 @@ from lexquarry.errors import QueryError
 from lexquarry.functions.stemmers.english import stem as english
 from lexquarry.functions.stemmers.german import stem as german
 from lexquarry.functions.stemmers.nordic import danish, norwegian, swedish
+from lexquarry.functions.stemmers.others import armenian, hindi, indonesian, irish, nepali
+from lexquarry.functions.stemmers.polish import stem as polish
 from lexquarry.functions.stemmers.romance import french, italian, portuguese, spanish
+from lexquarry.functions.stemmers.romanian import stem as romanian
 from lexquarry.functions.stemmers.russian import stem as russian
+from lexquarry.functions.stemmers.uralic import finnish, hungarian
 
 STEMMERS: dict[str, Callable[[str], str]] = {
     "da": danish,
     "de": german,
     "en": english,
     "es": spanish,
+    "fi": finnish,
     "fr": french,
+    "ga": irish,
+    "hi": hindi,
+    "hu": hungarian,
+    "hy": armenian,
+    "id": indonesian,
     "it": italian,
+    "ne": nepali,
     "no": norwegian,
+    "pl": polish,
     "pt": portuguese,
+    "ro": romanian,
     "ru": russian,
     "sv": swedish,
 }

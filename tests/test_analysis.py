@@ -79,6 +79,15 @@ STEMS = {
     "sv": "jaktkarlarne jaktkarl klostergården klostergård flickorna flick",
     "no": "havnedistriktene havnedistrikt husene hus",
     "da": "indtage indtag begivenheden begiven",
+    "fi": "edeltäjiinsä edeltäj taloissa talo kirjastossa kirjasto asuntoihin asunto",
+    "hu": "babakocsi babakocs házakban ház kalappal kalap könyvek könyv",
+    "ro": "abruptă abrupt accelerare acceler vorbesc vorb cântând cânt",
+    "pl": "samochodach samochod piękniejszy piękn koń kon",
+    "ga": "bhfuil fuil dtithe tithe",
+    "id": "bukunya buku membaca baca pertandingan tanding berlari lari",
+    "hy": "ընկերներ ընկեր",
+    "hi": "किताबें किताब लड़कियाँ लड़क",
+    "ne": "घरहरूमा घर गरेको गर",
 }
 
 
