@@ -237,7 +237,8 @@ def canonical_texts(texts: DataFrame, keep_text: bool = True) -> DataFrame:
     told = salted_lookup(uses, "mixed_token", spread, targets, "from_token", heavy_keys(uses, "mixed_token"))
     # A text's list of mixed tokens is no longer than the text itself.
     per_text = told.groupBy("field_name", "key", "raw").agg(F.map_from_entries(F.collect_list(F.struct("mixed_token", "target"))).alias("targets"))
-    mend = F.pandas_udf(_mend, "struct<form:string,look:binary>")
+    # Called non-deterministic so that the plan does not evaluate it once for each use of its result.
+    mend = F.pandas_udf(_mend, "struct<form:string,look:binary>").asNondeterministic()
     mended = mixed_rows.join(per_text, ["field_name", "key", "raw"]).withColumn(
         "m", mend("form", F.map_keys("targets"), F.map_values("targets"))
     )
