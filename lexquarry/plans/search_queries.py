@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from lexquarry.operators.highlight import Highlighter
 from lexquarry.operators.resolve import analyze_queries, keyword_table, resolve
 from lexquarry.operators.score import bm25, fetch, min_spans, search
 from lexquarry.operators.snippet import Snippeter, beginning_column
-from lexquarry.plans.session import table
+from lexquarry.plans.session import ensure_checkpoint_dir, table
 
 #: Stopwords of the queries that have a fixed list on both sides.
 STOPWORDS = ("the", "of", "a", "and", "de", "la", "der", "die", "le", "les", "el", "il", "het", "een", "o", "in")
@@ -243,19 +244,100 @@ def stemmed_positions(spark, d):
     return token_rows(document_tokens(table(spark, d, "documents"), "doc_id", ["title", "body"], a), a)
 
 
+# --- an index on disk ---
+
+
+def _stored(spark: SparkSession):
+    """A new index with a document store in the session's shared folder."""
+    from lexquarry.api import SearchIndex
+
+    return SearchIndex(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", store=True)
+
+
+def _fields(spark, d, *columns: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), *columns)
+
+
+def insert_many(spark, d):
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "body"))
+    return index.tables.lexicon
+
+
+def upsert_many(spark, d):
+    """Titles first, then all documents again with their bodies, and the parts as further documents."""
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title"))
+    parts = table(spark, d, "part").select((-F.col("p_partkey")).alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("body"))
+    index.upsert_many(_fields(spark, d, "title", "body").unionByName(parts))
+    return index.tables.lexicon
+
+
+def update_many(spark, d):
+    """The documents without a label of their language lose their bodies."""
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "body"))
+    index.update_many(_fields(spark, d, "title", "lang").where(F.col("lang").isNull()).select("id", "title"))
+    return index.tables.lexicon
+
+
+def delete_many(spark, d):
+    """Without the documents of one source; ids that don't exist are ignored."""
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "body"))
+    gone = table(spark, d, "documents").where("source = 'reelnotes'").select("doc_id")
+    index.delete_many(gone.union(gone.select(-F.col("doc_id"))))
+    s = index.tables.stats.select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("num_hits"), F.col("total_documents").alias("num_docs"))
+    return index.tables.lexicon.unionByName(s)
+
+
+def has_many(spark, d):
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title"))
+    return index.has_table(table(spark, d, "docstore").select("doc_id").distinct())
+
+
+def get_many(spark, d):
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "source"))
+    found = index.get_table(table(spark, d, "docstore").select("doc_id").distinct())
+    return found.select("doc_id", F.get_json_object("data", "$.title").alias("title"), F.get_json_object("data", "$.source").alias("source"))
+
+
+def hydrated_search(spark, d):
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "body"))
+    queries = spark.createDataFrame(list(BATCH), "query_id bigint, phrase string")
+    page = index.search_batch(queries, as_you_type=False, limit=5)
+    stored = index.get_table(page.select("doc_id").distinct())
+    return page.join(stored, "doc_id").select("query_id", "doc_id", "rank", "hits", F.get_json_object("data", "$.title").alias("title"))
+
+
+def metadata_kept(spark, d):
+    """Metadata are stored and not indexed."""
+    index = _stored(spark)
+    docs = _fields(spark, d, "title", "source").select("id", "title", F.struct("source").alias("_meta"))
+    index.insert_many(docs)
+    found = index.tables.doc_lengths.join(index.get_table(docs.select("id")), "doc_id")
+    return found.select("doc_id", "length", F.get_json_object("data", "$._meta.source").alias("source"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokens, ngram_tokens, title_bigrams, title_trigrams, stopword_filter, query_analysis, postings, lexicon, doc_lengths, corpus_stats,
         positions, multi_field_positions, exact_terms, prefix_terms, fuzzy_terms, levenshtein_terms, bm25_exact, bm25_multi, bm25_prefix,
         bm25_fuzzy, bm25_maxdocs, bm25_page, bm25_tuned, bm25_proximity, bm25_batch, part_search, proximity_spans, inspect_query, highlight,
-        snippet_beginning, snippet, stems, bm25_stemmed, language_table, stemmed_positions,
+        snippet_beginning, snippet, stems, bm25_stemmed, language_table, stemmed_positions, insert_many,
+        upsert_many, update_many, delete_many, has_many, get_many, hydrated_search, metadata_kept,
     )
 } | {name: partial(_boolean, *args) for name, args in BOOLEANS.items()}
 
 
 # --- SQL ---
 
+_BOTH = "coalesce(title, '') || ' ' || coalesce(body, '')"
+
 _RE = r"[\p{L}\p{N}\p{Pc}@]+"
 
 
@@ -444,4 +526,20 @@ w as (select *, 120 - instr(reverse(head), ' ') space, instr(head, ' ') > 0 has
 select doc_id, case when length(text) <= 120 then text
   else regexp_replace(case when has and space > 60 then substr(head, 1, space) else head end, '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g') || ' …' end snippet
 from w""",
+    "insert_many": f"with {_built(text=_BOTH)} select * from lex",
+    "upsert_many": f"""
+with u as (select doc_id k, {_BOTH} x from documents union all select -p_partkey, p_name || ' ' || p_type from part),
+{_built("u", "k", "x")} select * from lex""",
+    "update_many": f"""
+with u as (select doc_id k, case when lang is null then title else {_BOTH} end x from documents), {_built("u", "k", "x")} select * from lex""",
+    "delete_many": f"""
+with u as (select doc_id k, {_BOTH} x from documents where source is distinct from 'reelnotes'), {_built("u", "k", "x")}
+select * from lex union all select '', 0, total_documents from st""",
+    "has_many": "select distinct s.doc_id, exists (select 1 from documents d where d.doc_id = s.doc_id) found from docstore s",
+    "get_many": "select doc_id, title, source from documents where doc_id in (select doc_id from docstore)",
+    "hydrated_search": f"""
+with u as (select doc_id k, {_BOTH} x from documents), {_built("u", "k", "x")}, {_keywords(PHRASES, False)}, {_expanded(False)} {_scored(False)}
+{_spans(3, 200)} {_page(5, 0, 1.0).replace("select * from pg", ", top as (select * from pg")})
+select query_id, doc_id, rank, hits, title from top join documents using (doc_id)""",
+    "metadata_kept": f"with {_built(text='title')} select doc_id, length, source from len join documents using (doc_id)",
 }
