@@ -1,7 +1,7 @@
 """Suffix-stripping stemmers after the published Snowball descriptions, and stemming of columns.
 
-Stems are worked out by ``stem_word`` in an Arrow UDF; each worker remembers the words it met, so a
-word costs one dictionary look-up after its first time.
+Columns are stemmed in Arrow UDFs: a batch is dictionary-encoded, only its distinct words reach Python,
+and each worker remembers the words it met.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,14 +54,38 @@ def stem_word(word: str, language: str | None) -> str:
     return f(word) if f else word
 
 
-def stem_column(word: Column, language: str | None) -> Column:
-    """Stems of a column of lower-case words; null stays null."""
+def _stem_words(words: pa.Array, language: str) -> pa.Array:
+    """Stems of an array of words; each distinct word of the array is looked at once."""
+    coded = words.dictionary_encode()
+    stems = pa.array([None if w is None else stem_word(w, language) for w in coded.dictionary.to_pylist()], pa.string())
+    return stems.take(coded.indices)
+
+
+def _known(language: str | None) -> str:
     if language not in STEMMERS:
         raise QueryError(f"no stemmer for language {language!r}")
+    return language
+
+
+def stem_column(word: Column, language: str | None) -> Column:
+    """Stems of a column of lower-case words; null stays null."""
+    language = _known(language)
 
-    @F.pandas_udf("string")
-    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def stems(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for words in batches:
-            yield words.map(lambda w: None if w is None else stem_word(w, language))
+            yield _stem_words(words, language)
 
     return stems(word)
+
+
+def stem_tokens(tokens: Column, language: str | None) -> Column:
+    """Stems of a column of token lists without nulls."""
+    language = _known(language)
+
+    @F.arrow_udf("array<string>")
+    def stems(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield pa.ListArray.from_arrays(lists.offsets, _stem_words(lists.values, language))
+
+    return stems(tokens)

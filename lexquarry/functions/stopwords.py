@@ -35,9 +35,11 @@ def frequent_terms(lexicon: DataFrame, total_documents: int, share: float = 0.5,
 
 
 def remove_stopwords(tokens: Column, words: Iterable[str]) -> Column:
-    """``tokens`` without stopwords, order and repetition kept. Words are compared as strings, numbers too."""
+    """``tokens`` without stopwords, order and repetition kept. Words are compared as strings, numbers too.
+
+    Written with ``isin``, of which the optimizer makes a hash set.
+    """
     known = sorted(set(words))
     if not known:
         return tokens
-    listed = F.array(*[F.lit(w) for w in known])
-    return F.filter(tokens, lambda t: ~F.array_contains(listed, t))
+    return F.filter(tokens, lambda t: ~t.isin(known))

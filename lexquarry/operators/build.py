@@ -64,13 +64,12 @@ def document_tokens(docs: DataFrame, id_col: str, text_cols: Iterable[str], anal
 
 
 def token_rows(tokens: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFrame:
-    """``doc_id, position, term``, one row per token; stems are worked out once for every distinct token."""
-    rows = tokens.select("doc_id", F.posexplode("tokens").alias("position", "term"))
-    if not analyzer.stem:
-        return rows
-    from lexquarry.functions.stemmers import stem_column
+    """``doc_id, position, term``, one row per token. Whole lists are stemmed before they are taken apart."""
+    if analyzer.stem:
+        from lexquarry.functions.stemmers import stem_tokens
 
-    return rows.withColumn("term", stem_column(F.col("term"), analyzer.language))
+        tokens = tokens.select("doc_id", stem_tokens(F.col("tokens"), analyzer.language).alias("tokens"))
+    return tokens.select("doc_id", F.posexplode("tokens").alias("position", "term"))
 
 
 def postings_of(rows: DataFrame) -> DataFrame:
