@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexquarry.errors import QueryError
+from lexquarry.functions.stemmers.dutch import stem as dutch
 from lexquarry.functions.stemmers.english import stem as english
 from lexquarry.functions.stemmers.german import stem as german
 from lexquarry.functions.stemmers.nordic import danish, norwegian, swedish
@@ -38,6 +39,7 @@ STEMMERS: dict[str, Callable[[str], str]] = {
     "id": indonesian,
     "it": italian,
     "ne": nepali,
+    "nl": dutch,
     "no": norwegian,
     "pl": polish,
     "pt": portuguese,

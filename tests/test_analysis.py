@@ -79,6 +79,7 @@ STEMS = {
     "sv": "jaktkarlarne jaktkarl klostergården klostergård flickorna flick",
     "no": "havnedistriktene havnedistrikt husene hus",
     "da": "indtage indtag begivenheden begiven",
+    "nl": "lichaamsdelen lichaamsdeel opheffende ophef boeken boek huizen huis bomen boom gewerkt werk jongetje jong snelheid snel katten kat",
     "fi": "edeltäjiinsä edeltäj taloissa talo kirjastossa kirjasto asuntoihin asunto",
     "hu": "babakocsi babakocs házakban ház kalappal kalap könyvek könyv",
     "ro": "abruptă abrupt accelerare acceler vorbesc vorb cântând cânt",
