@@ -31,7 +31,7 @@ from lexquarry.plans.session import bounded
 #: Labelled sentences that training uses at most, by smallest sample_id; the fit is on the driver.
 MAX_SAMPLES = 20_000
 #: Labelled documents that training uses at most, the characters each has at most, and sentences per language.
-MAX_DOCUMENTS, MAX_BODY, MAX_TAUGHT = 4_000, 5_000, 1_500
+MAX_DOCUMENTS, MAX_BODY, MAX_TAUGHT = 4_000, 5_000, 800
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: A language is one of a text's if at least this share of the letters stand in it.
 LEAST_SHARE = 0.1
