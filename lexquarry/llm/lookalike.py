@@ -276,16 +276,17 @@ def lookalike_pairs(canonical: DataFrame) -> DataFrame:
     Pairs are formed between the distinct texts of a look, then between the keys that hold them, so
     copies of one text are never compared with each other.
     """
-    keyed = canonical.select("field_name", "look", "raw", "key")
-    texts = keyed.select("field_name", "look", "raw").distinct()
+    text_id = F.concat(F.encode("field_name", "utf-8"), F.col("raw"))
+    keyed = cut(canonical.select("field_name", "look", text_id.alias("text_id"), "key"))
+    texts = keyed.select("field_name", "look", "text_id").distinct()
     several = texts.groupBy("field_name", "look").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    alike = cut(keyed.join(several, ["field_name", "look"], "left_semi"))
-    variants = alike.select("field_name", "look", "raw").distinct()
-    a = variants.withColumnRenamed("raw", "raw_a")
-    b = variants.withColumnRenamed("raw", "raw_b")
-    pairs = a.join(b, ["field_name", "look"]).where(F.col("raw_a") < F.col("raw_b"))
-    keys = alike.select("field_name", "raw", "key")
-    left = keys.withColumnsRenamed({"raw": "raw_a", "key": "x"})
-    right = keys.withColumnsRenamed({"raw": "raw_b", "key": "y"})
-    joined = pairs.join(left, ["field_name", "raw_a"]).join(right, ["field_name", "raw_b"])
-    return joined.where(F.col("x") != F.col("y")).select("field_name", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    variants = cut(texts.join(several, ["field_name", "look"], "left_semi"))
+    a = variants.withColumnRenamed("text_id", "text_a")
+    b = variants.withColumnRenamed("text_id", "text_b")
+    pairs = a.join(b, ["field_name", "look"]).where(F.col("text_a") < F.col("text_b")).drop("look")
+    # A text that many keys hold is spread over salts in either join.
+    keys = keyed.select("text_id", "key")
+    heavy = heavy_keys(keys, "text_id")
+    with_a = salted_lookup(keys, "text_id", F.col("key"), pairs, "text_a", heavy).select("field_name", "text_b", F.col("key").alias("x"))
+    both = salted_lookup(keys, "text_id", F.col("key"), with_a, "text_b", heavy)
+    return both.where(F.col("x") != F.col("key")).select("field_name", F.least("x", "key").alias("key_a"), F.greatest("x", "key").alias("key_b"))
