@@ -23,6 +23,8 @@ from lexquarry.plans.session import bounded, cut
 
 #: Documents of one size and source that are ranked in one window partition, about.
 RANK_BLOCK = 100_000
+#: Rows of placements, one for each source and size, that are broadcast at most.
+MOST_MOVES = 200_000
 
 
 def sweep_runs(runs: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -112,9 +114,11 @@ def pack_documents(documents: DataFrame, plan: DataFrame, size: str | None = Non
     placed = runs.groupBy("source", "capacity").applyInPandas(
         sweep, "source string, rest bigint, rank_from bigint, n bigint, bin_from bigint, per_bin bigint"
     )
-    # At most a few placements per size: they travel as one row for each source and size.
-    moves = placed.groupBy("source", "rest").agg(
-        F.sort_array(F.collect_list(F.struct("rank_from", "n", "bin_from", "per_bin"))).alias("moves")
+    # At most a few placements per size: they travel as one row for each source and size, to the documents
+    # if a count shows them to be few, so that a size that most documents have needs no shuffle.
+    moves = bounded(
+        cut(placed.groupBy("source", "rest").agg(F.sort_array(F.collect_list(F.struct("rank_from", "n", "bin_from", "per_bin"))).alias("moves"))),
+        MOST_MOVES,
     )
     largest = runs.agg(F.max("n")).first()[0] or 0
     blocks = -(-largest // RANK_BLOCK) or 1
