@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.langid import detect_languages, fit_with_documents, labelled, languages_of, wrong_labels
-from lexquarry.llm.lookalike import canonical_texts, lookalike_pairs
+from lexquarry.llm.lookalike import LOOK, PLAIN, canonical_texts, lookalike_pairs
 from lexquarry.llm.mixing import mix_documents
 from lexquarry.llm.packing import container_report, pack_documents, split_by_packing
 from lexquarry.llm.splitting import split_documents
@@ -126,6 +126,28 @@ with sizes as (
   from documents)
 """
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _look_sql() -> str:
+    """The look of x, by DuckDB's own string functions over the same tables of fixed values."""
+    gone = [c for c, t in PLAIN.items() if t == ""]
+    single = {chr(c): t for c, t in PLAIN.items() if len(t) == 1}
+    longer = {chr(c): t for c, t in PLAIN.items() if len(t) > 1}
+    ranges = "".join(f"\\x{{{c:X}}}" for c in gone if c)
+    x = f"regexp_replace(x, '[{ranges}]', '', 'g')"
+    for a, b in longer.items():
+        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
+    x = f"nfc_normalize(translate({x}, {_quoted(''.join(single))}, {_quoted(''.join(single.values()))}))"
+    for a, b in ((chr(c), t) for c, t in LOOK.items() if len(t) > 1):
+        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
+    one = {chr(c): t for c, t in LOOK.items() if len(t) == 1}
+    return f"translate({x}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+
+
 SQL = {
     "p1_found": _TERMS + "select term, mark from terms where mark is not null",
     "p1_stats": _TERMS + "select * from terms",
@@ -137,6 +159,12 @@ with latest as (
 ranked as (
   select term_id, doc_id, cast(row_number() over (partition by term_id order by hit_count desc, doc_id) as integer) rnk from latest where r = 1)
 select * from ranked where rnk <= 3""",
+    "p6_found": f"""
+with t as (select 'wordlist.term' field_name, id k, term x from wordlist where term is not null
+           union all select 'documents.body', doc_id, body from documents where trim(body) <> ''),
+l as (select field_name, k, x, {_look_sql()} look from t)
+select a.field_name, least(a.k, b.k) key_a, greatest(a.k, b.k) key_b from l a join l b on a.field_name = b.field_name and a.look = b.look and a.k < b.k
+where a.x <> b.x""",
     "p7_found": _SIZES + "select doc_id from sizes join source_plan using (source) where tokens > capacity",
     "p8_found": _SIZES
     + """, have as (select source, sum(tokens) tokens from sizes join source_plan using (source) group by 1)
