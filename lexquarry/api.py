@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lexquarry.config import Config
 from lexquarry.errors import IndexIOError, QueryError
-from lexquarry.functions.languages import has_stemmer, supports
+from lexquarry.functions.analysis import py_tokenize
+from lexquarry.functions.languages import has_stemmer, ngram_size, supports
 from lexquarry.functions.stopwords import default_stopwords
 from lexquarry.operators import boolean, explain
 from lexquarry.operators.build import IndexTables, field_text
@@ -325,11 +326,32 @@ class SearchIndex:
 
     # --- searching ---
 
+    def _lexicon_near(self, words: list[str], starts: list[str]) -> IndexTables:
+        """The tables with a lexicon of these words and of the terms with these beginnings, both filters that Parquet can use."""
+        term = F.col("term")
+        wanted = term.isin(words)
+        for s in starts:
+            wanted = wanted | term.startswith(s)
+        return replace(self.tables, lexicon=self.tables.lexicon.where(wanted))
+
+    @staticmethod
+    def _postings_of(tables: IndexTables, terms: list[str]) -> IndexTables:
+        wanted = F.col("term").isin(terms)
+        return replace(tables, postings=tables.postings.where(wanted), positions=tables.positions.where(wanted))
+
+    def _starts(self, kws: list[str], as_you_type: bool, fuzzy: bool) -> list[str]:
+        last = kws[-1:] if as_you_type and not ngram_size(self.language) else []
+        return last + ([kw[: self.config.fuzzy_prefix_length] for kw in kws] if fuzzy else [])
+
     def search(self, phrase: str, fuzzy: bool = False, as_you_type: bool = True, limit: int = 100, offset: int = 0) -> SearchResult:
-        t = self.tables
-        kws = analyze_phrase(phrase, t.analyzer)["filtered"]
+        """One phrase. Its terms, at most ``fuzzy_max_expansions`` for each keyword, are resolved first and then filter the postings' files."""
+        kws = analyze_phrase(phrase, self.tables.analyzer)["filtered"]
+        t = self._lexicon_near(kws, self._starts(kws, as_you_type, fuzzy))
         keywords = keyword_table(self.spark, [phrase], t.analyzer, as_you_type)
-        terms = resolve(keywords, t.lexicon, self.config, fuzzy, t.analyzer.language)
+        resolved = resolve(keywords, t.lexicon, self.config, fuzzy, t.analyzer.language)
+        found = resolved.collect()
+        terms = self.spark.createDataFrame(found, resolved.schema)
+        t = self._postings_of(t, sorted({r["term"] for r in found}))
         page = ranked_search(t, terms, self.config, fuzzy, max(limit, 1), offset, len(kws)).drop("query_id")
         rows = page.orderBy("rank").collect()
         hits = rows[0]["hits"] if rows else 0
@@ -351,17 +373,21 @@ class SearchIndex:
     def search_boolean(
         self, phrase: str, as_you_type: bool = True, limit: int = 100, offset: int = 0, strict_compat: bool = False
     ) -> SearchResult:
-        page = boolean.search_boolean(self.tables, phrase, self.config, as_you_type, max(limit, 1), offset, strict_compat)
+        tree = boolean.parse(phrase, as_you_type, strict_compat)
+        words = [w for leaf in boolean.leaves(tree) for w in self.tables.analyzer.py_stem(py_tokenize(leaf.word, self.language))]
+        tables = self._lexicon_near(words, words if not ngram_size(self.language) else [])
+        page = boolean.search_boolean(tables, phrase, self.config, as_you_type, max(limit, 1), offset, strict_compat)
         rows = page.orderBy("rank").collect()
         hits = rows[0]["hits"] if rows else 0
         if not rows and offset:
-            first = boolean.search_boolean(self.tables, phrase, self.config, as_you_type, 1, 0, strict_compat).first()
+            first = boolean.search_boolean(tables, phrase, self.config, as_you_type, 1, 0, strict_compat).first()
             hits = first["hits"] if first else 0
         ids = [r["doc_id"] for r in rows] if limit > 0 else []
         return SearchResult(ids, hits, None, self._hydrate(ids), page)
 
     def inspect_query(self, phrase: str, fuzzy: bool = False, as_you_type: bool = True) -> dict:
-        return explain.inspect_query(self.tables, phrase, self.config, fuzzy, as_you_type)
+        kws = analyze_phrase(phrase, self.tables.analyzer)["filtered"]
+        return explain.inspect_query(self._lexicon_near(kws, self._starts(kws, as_you_type, fuzzy)), phrase, self.config, fuzzy, as_you_type)
 
     def snippeter(self, window_size: int = 200, max_snippets: int = 1, ellipsis: str = "…") -> Snippeter:
         return Snippeter(window_size, max_snippets, ellipsis, self.language)

@@ -34,7 +34,7 @@ class Analyzer:
 
 @dataclass(frozen=True)
 class IndexTables:
-    """``postings(term, doc_id, hit_count)``, ``positions(term, doc_id, position)``, ``lexicon(term, num_hits, num_docs)``,
+    """``postings(term, doc_id, hit_count)``, perhaps with the document's ``length``, ``positions(term, doc_id, position)``, ``lexicon(term, num_hits, num_docs)``,
     ``doc_lengths(doc_id, length)``, ``stats(total_documents, avg_doc_length)`` in one row."""
 
     postings: DataFrame
@@ -63,13 +63,15 @@ def document_tokens(docs: DataFrame, id_col: str, text_cols: Iterable[str], anal
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), tokens.alias("tokens"))
 
 
-def token_rows(tokens: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFrame:
-    """``doc_id, position, term``, one row per token. Whole lists are stemmed before they are taken apart."""
+def token_rows(tokens: DataFrame, analyzer: Analyzer = Analyzer(), with_length: bool = False) -> DataFrame:
+    """``doc_id, position, term`` (and the document's ``length``), one row per token. Whole lists are stemmed before they are taken apart."""
+    kept = ["doc_id", "length"] if with_length else ["doc_id"]
+    rows = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("length"), "tokens")
     if analyzer.stem:
         from lexquarry.functions.stemmers import stem_tokens
 
-        tokens = tokens.select("doc_id", stem_tokens(F.col("tokens"), analyzer.language).alias("tokens"))
-    return tokens.select("doc_id", F.posexplode("tokens").alias("position", "term"))
+        rows = rows.withColumn("tokens", stem_tokens(F.col("tokens"), analyzer.language))
+    return rows.select(*kept, F.posexplode("tokens").alias("position", "term"))
 
 
 def postings_of(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ DECIMALS = 6
 
 
 def fetch(index: IndexTables, terms: DataFrame, config: Config, fuzzy: bool) -> DataFrame:
-    """``query_id, kw_idx, term, doc_id, hit_count, df``: of each keyword's postings the ``max_docs`` with most hits.
+    """``query_id, kw_idx, term, doc_id, hit_count, df`` (and ``length`` if postings have it): of each keyword's postings the ``max_docs`` with most hits.
 
     A keyword can use no more than ``max_docs`` postings of a term, so terms are capped first, once for all
     queries that share them, and only then meet the keywords. Either ranking starts on each task's own rows:
@@ -43,9 +43,9 @@ def bm25(index: IndexTables, fetched: DataFrame, config: Config) -> DataFrame:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf, k1, b = F.col("hit_count"), config.k1, config.b
     part = idf * (k1 + 1) * tf / (F.lit(k1 * (1 - b)) + F.lit(k1 * b) / F.col("avgdl") * F.col("length") + tf)
+    sized = fetched if "length" in fetched.columns else fetched.join(index.doc_lengths, "doc_id")
     return (
-        fetched.join(index.doc_lengths, "doc_id")
-        .join(F.broadcast(stats))  # one row
+        sized.join(F.broadcast(stats))  # one row
         .groupBy("query_id", "doc_id")
         .agg(F.sum(part).alias("score"))
     )

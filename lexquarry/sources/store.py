@@ -23,6 +23,8 @@ from lexquarry.plans.session import spread
 from lexquarry.sources.files import Files
 
 _KIND = "inverted-index"
+#: A posting carries its document's length, so that ranking reads nothing but the postings of its terms.
+_POSTINGS = "term string, doc_id bigint, hit_count bigint, length bigint, positions array<int>"
 #: A list of deleted documents up to this many rows is broadcast; its size is known from the manifest.
 _FEW_DELETES = 200_000
 
@@ -109,13 +111,13 @@ class Store:
         return self._alive(manifest, self._read(manifest, "docs", "doc_id bigint, length bigint, data string"))
 
     def tables(self, manifest: Manifest) -> IndexTables:
-        postings = self._alive(manifest, self._read(manifest, "postings", "term string, doc_id bigint, hit_count bigint, positions array<int>"))
+        postings = self._alive(manifest, self._read(manifest, "postings", _POSTINGS))
         changes = self._read(manifest, "lexicon", "term string, num_hits bigint, num_docs bigint")
         lexicon = changes.groupBy("term").agg(F.sum("num_hits").alias("num_hits"), F.sum("num_docs").alias("num_docs")).where("num_docs > 0")
         n = manifest.total_documents
         stats = self.spark.createDataFrame([(n, manifest.total_length / n if n else 0.0)], "total_documents bigint, avg_doc_length double")
         return IndexTables(
-            postings.select("term", "doc_id", "hit_count"),
+            postings.select("term", "doc_id", "hit_count", "length"),
             postings.select("term", "doc_id", F.explode(F.col("positions").cast("array<bigint>")).alias("position")),
             lexicon,
             self.documents(manifest).select("doc_id", "length"),
@@ -140,11 +142,12 @@ class Store:
             data = F.col("data") if manifest.store else F.lit(None).cast("string")
             tokens_of = spread(docs).select("doc_id", tokens.alias("tokens"), data.alias("data"))
             tokens_of.select("doc_id", F.size("tokens").cast("bigint").alias("length"), "data").write.parquet(f"{at}/docs")
-            postings = token_rows(tokens_of.select("doc_id", "tokens"), analyzer).groupBy("term", "doc_id").agg(
+            rows = token_rows(tokens_of.select("doc_id", "tokens"), analyzer, with_length=True)
+            postings = rows.groupBy("term", "doc_id", "length").agg(
                 F.count(F.lit(1)).alias("hit_count"), F.sort_array(F.collect_list("position")).alias("positions")
             )
-            # Ranges over (term, document), so that a frequent term is spread over several files.
-            postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
+            # Ranges over (term, document), so that a frequent term is spread over several files, and a term's files are few.
+            postings.select("term", "doc_id", "hit_count", "length", "positions").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
             written = self.spark.read.parquet(f"{at}/postings")
             lexicon.append(written.groupBy("term").agg(F.sum("hit_count").alias("num_hits"), F.count(F.lit(1)).alias("num_docs")))
             n, length = self.spark.read.parquet(f"{at}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
@@ -152,7 +155,7 @@ class Store:
         else:
             empty = self.spark.createDataFrame([], "doc_id bigint, length bigint, data string")
             empty.write.parquet(f"{at}/docs")
-            self.spark.createDataFrame([], "term string, doc_id bigint, hit_count bigint, positions array<int>").write.parquet(f"{at}/postings")
+            self.spark.createDataFrame([], _POSTINGS).write.parquet(f"{at}/postings")
         if delete is not None:
             delete.select("doc_id").write.parquet(f"{at}/deletes")
             gone = self.spark.read.parquet(f"{at}/deletes")
@@ -164,7 +167,7 @@ class Store:
         if lexicon:
             reduce(DataFrame.unionByName, lexicon).groupBy("term").agg(
                 F.sum("num_hits").alias("num_hits"), F.sum("num_docs").alias("num_docs")
-            ).write.parquet(f"{at}/lexicon")
+            ).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/lexicon")
         return replace(out, segments=(*out.segments, seg))
 
     def compact(self, manifest: Manifest) -> Manifest:
@@ -172,9 +175,9 @@ class Store:
         seg = f"seg-{uuid.uuid4().hex}"
         at = f"{self.path}/{seg}"
         self.documents(manifest).write.parquet(f"{at}/docs")
-        postings = self._alive(manifest, self._read(manifest, "postings", "term string, doc_id bigint, hit_count bigint, positions array<int>"))
+        postings = self._alive(manifest, self._read(manifest, "postings", _POSTINGS))
         postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
-        self.tables(manifest).lexicon.write.parquet(f"{at}/lexicon")
+        self.tables(manifest).lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/lexicon")
         return replace(manifest, segments=(seg,), deletes={})
 
     def copy_to(self, manifest: Manifest, other: "Store") -> None:
