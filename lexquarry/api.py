@@ -20,6 +20,7 @@ from lexquarry.operators import boolean, explain
 from lexquarry.operators.build import IndexTables, field_text
 from lexquarry.operators.highlight import Highlighter
 from lexquarry.operators.resolve import analyze_phrase, analyze_queries, keyword_table, resolve
+from lexquarry.operators.score import fetch
 from lexquarry.operators.score import search as ranked_search
 from lexquarry.operators.snippet import Snippeter
 from lexquarry.plans.session import ship
@@ -352,11 +353,13 @@ class SearchIndex:
         found = resolved.collect()
         terms = self.spark.createDataFrame(found, resolved.schema)
         t = self._postings_of(t, sorted({r["term"] for r in found}))
-        page = ranked_search(t, terms, self.config, fuzzy, max(limit, 1), offset, len(kws)).drop("query_id")
+        best = fetch(t, terms, self.config, fuzzy)
+        best = self.spark.createDataFrame(best.collect(), best.schema)  # at most max_docs rows for each keyword
+        page = ranked_search(t, terms, self.config, fuzzy, max(limit, 1), offset, len(kws), best).drop("query_id")
         rows = page.orderBy("rank").collect()
         hits = rows[0]["hits"] if rows else 0
         if not rows and offset:
-            first = ranked_search(t, terms, self.config, fuzzy, 1, 0, 1).first()
+            first = ranked_search(t, terms, self.config, fuzzy, 1, 0, 1, best).first()
             hits = first["hits"] if first else 0
         rows = rows if limit > 0 else []
         ids = [r["doc_id"] for r in rows]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.config import Config
 from lexquarry.operators.build import IndexTables
+from lexquarry.plans.session import cut
 
 #: Scores are ranked as rounded to so many decimals, so that summation order can't change a rank.
 DECIMALS = 6
@@ -78,16 +79,22 @@ def search(
     limit: int = 100,
     offset: int = 0,
     n_groups: int = 1,
+    fetched: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, doc_id, score, rank, hits``: the page of each query; ``hits`` counts all its scored documents.
 
     ``terms`` comes from ``resolve``. ``n_groups`` is the number of keywords of the longest query; with at least two,
-    the proximity factor applies to the best ``max((offset + limit) * 5, 200)`` documents of a query.
+    the proximity factor applies to the best ``max((offset + limit) * 5, 200)`` documents of a query. Then the fetched
+    postings, at most ``max_docs`` for each keyword, are needed several times and written once. ``fetched``: those of
+    ``fetch``, if the caller has them.
     """
-    fetched = fetch(index, terms, config, fuzzy)
+    near = n_groups >= 2 and config.proximity_boost > 0
+    if fetched is None:
+        fetched = fetch(index, terms, config, fuzzy)
+        fetched = cut(fetched) if near else fetched
     scores = bm25(index, fetched, config)
     ranked = Window.partitionBy("query_id").orderBy(F.round("score", DECIMALS).desc(), "doc_id")
-    if n_groups >= 2 and config.proximity_boost > 0:
+    if near:
         top = scores.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= max((offset + limit) * 5, 200))
         spans = min_spans(index, fetched, top, n_groups)
         factor = F.coalesce(1 / (1 + F.lit(float(config.proximity_boost)) * F.col("min_span")), F.lit(1.0))
