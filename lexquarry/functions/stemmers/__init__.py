@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexquarry.errors import QueryError
+from lexquarry.functions.stemmers.baltic_and_esperanto import esperanto, lithuanian
 from lexquarry.functions.stemmers.dutch import stem as dutch
 from lexquarry.functions.stemmers.english import stem as english
 from lexquarry.functions.stemmers.german import stem as german
@@ -29,6 +30,7 @@ STEMMERS: dict[str, Callable[[str], str]] = {
     "da": danish,
     "de": german,
     "en": english,
+    "eo": esperanto,
     "es": spanish,
     "fi": finnish,
     "fr": french,
@@ -38,6 +40,7 @@ STEMMERS: dict[str, Callable[[str], str]] = {
     "hy": armenian,
     "id": indonesian,
     "it": italian,
+    "lt": lithuanian,
     "ne": nepali,
     "nl": dutch,
     "no": norwegian,
