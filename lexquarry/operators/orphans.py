@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexquarry.plans.session import cut
+
 _NO_END = 999_999
 
 
@@ -76,16 +78,15 @@ def broken_references(
     p = parents.select(F.col(parent_key).alias("k"), F.col(parent_time).alias("a"), gone.alias("d")).where(F.col("k").isNotNull())
     codes = None
     if not (_is_integer(r, "k") and _is_integer(p, "k")):
-        from lexquarry.plans.session import cut
-
         codes = cut(dictionary_encode(r.select("k").union(p.select("k")), "k"))
         named = lambda df: df.join(codes, "k").drop("k").withColumnRenamed("code", "k")
         r, p = named(r), named(p)
     r = r.withColumn("k", F.col("k").cast("bigint"))
     p = p.withColumn("k", F.col("k").cast("bigint"))
 
-    # Partial aggregation first: one row per key and month leaves each map task, however hot the key.
-    used = r.groupBy("k", _month_no(F.col("t")).alias("m")).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    # Partial aggregation first: one row per key and month leaves each map task, however hot the key. The
+    # result is used for the bitmaps and for judging what they leave, so it is kept: the references are read once.
+    used = cut(r.groupBy("k", _month_no(F.col("t")).alias("m")).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t")))
     known = p.groupBy("k").agg(F.min("a").alias("a"), F.min("d").alias("d"))
 
     month = F.coalesce(F.col("m"), F.lit(-1))
