@@ -42,8 +42,9 @@ WANTED_PRECISION = 0.998
 
 _HAN_KANA = "぀-ヿ㐀-鿿々"
 _TOKEN = re.compile(rf"[{_HAN_KANA}]|[^\W\d_{_HAN_KANA}]+")
-#: Where a stretch may end: after a sentence or line, or after a comma before a word that could begin a sentence.
-_END = regex.compile(rf"[.!?。！？…\n]+|[,;:]\s+(?=[\p{{Lu}}{_HAN_KANA}])")
+#: Where a stretch may end: after a sentence or line, or after a comma before a word with a
+#: capital that could begin a sentence, but not within capitals.
+_END = regex.compile(rf"[.!?。！？…\n]+|[,;:]\s+(?=\p{{Lu}}(?:['’]?\p{{Ll}}|\s+\p{{Ll}})|[{_HAN_KANA}])")
 
 
 _WIDE = re.compile(f"[{_HAN_KANA}]")

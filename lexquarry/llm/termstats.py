@@ -18,7 +18,7 @@ def latest_postings(postings: DataFrame, heavy: DataFrame | None = None) -> Data
     Hash aggregation by (term, document, time) and then by (term, document); nothing is sorted.
     A posting without a time is older than any other, one without hits lower than any other.
     """
-    at = F.coalesce(F.col("written_at").cast("timestamp"), F.timestamp_micros(F.lit(-(2**62))))
+    at = F.coalesce(F.col("written_at"), F.lit("0001-01-01 00:00:00").cast(postings.schema["written_at"].dataType))
     by_time = postings.groupBy("term_id", "doc_id", *(["salt"] if "salt" in postings.columns else []), at.alias("at")).agg(
         F.max(F.coalesce("hit_count", F.lit(-(2**62)))).alias("h")
     )
