@@ -202,8 +202,6 @@ class SearchIndex:
                 F.filter(F.array(*texts), lambda t: t != "").alias("texts") if texts else F.array().cast("array<string>").alias("texts"),
                 F.to_json(F.struct(*[F.col(c) for c in docs.columns])).alias("data"),
             )
-            if not rows.where(F.col("doc_id").isNull()).isEmpty():
-                raise QueryError("every document needs an integer id")
             return rows
         out = []
         for d in docs:
@@ -229,9 +227,11 @@ class SearchIndex:
         """Adds documents; fails as a whole if an id is missing, repeated or already there. ``progress(done, total)`` is called at the end."""
         self._writable()
         rows = self._prepare(docs)
-        twice = rows.groupBy("doc_id").count().where("count > 1")
-        if s := self._some(twice):
-            raise QueryError(f"ids given twice: {s}")
+        bad = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").orderBy("doc_id").limit(10).collect()
+        if bad and bad[0]["doc_id"] is None:
+            raise QueryError("every document needs an integer id")
+        if bad:
+            raise QueryError("ids given twice: " + ", ".join(str(r["doc_id"]) for r in bad))
         if s := self._some(self._known(rows.select("doc_id"))):
             raise QueryError(f"ids already there: {s}")
         before = self._manifest.total_documents
@@ -258,7 +258,10 @@ class SearchIndex:
         self._writable()
         if not isinstance(docs, DataFrame):
             docs = list({str(d.get("id", f"missing-{i}")): d for i, d in enumerate(docs)}.values())
-        rows = self._prepare(docs).groupBy("doc_id").agg(F.max(F.struct("data", "texts")).alias("d")).select("doc_id", "d.texts", "d.data")
+        rows = self._prepare(docs)
+        if isinstance(docs, DataFrame) and not rows.where(F.col("doc_id").isNull()).isEmpty():
+            raise QueryError("every document needs an integer id")
+        rows = rows.groupBy("doc_id").agg(F.max(F.struct("data", "texts")).alias("d")).select("doc_id", "d.texts", "d.data")
         if must_exist:
             missing = rows.join(self._store.documents(self._manifest).select("doc_id"), "doc_id", "left_anti").select("doc_id")
             if s := self._some(missing):

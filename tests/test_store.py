@@ -117,6 +117,9 @@ def test_tables_in_and_out(spark, tmp_path):
     assert {r["doc_id"]: r["found"] for r in index.has_table(spark.createDataFrame([(1,), (99,)], "id int")).collect()} == {1: True, 99: False}
     r = index.search_boolean("common -word1", as_you_type=False, limit=3)
     assert r.hits == 20 and len(r.ids) == 3 and not r.has_scores and len(r.documents) == 3
+    for write in (index.insert_many, index.upsert_many):
+        with pytest.raises(QueryError, match="integer id"):
+            write(spark.createDataFrame([("x1", "a")], "id string, title string"))
     index.delete_many(docs.where("id < 10").select("id"))
     assert index.count() == 20
 
