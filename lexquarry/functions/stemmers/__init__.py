@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexquarry.errors import QueryError
+from lexquarry.functions.stemmers.arabic import stem as arabic
 from lexquarry.functions.stemmers.baltic_and_esperanto import esperanto, lithuanian
 from lexquarry.functions.stemmers.dutch import stem as dutch
 from lexquarry.functions.stemmers.english import stem as english
@@ -27,6 +28,7 @@ from lexquarry.functions.stemmers.russian import stem as russian
 from lexquarry.functions.stemmers.uralic import finnish, hungarian
 
 STEMMERS: dict[str, Callable[[str], str]] = {
+    "ar": arabic,
     "da": danish,
     "de": german,
     "en": english,

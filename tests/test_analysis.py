@@ -82,6 +82,7 @@ STEMS = {
     "nl": "lichaamsdelen lichaamsdeel opheffende ophef boeken boek huizen huis bomen boom gewerkt werk jongetje jong snelheid snel katten kat",
     "lt": "knygose knyg žodžiai žod gražiausias graž",
     "eo": "hundoj hund min mi kiujn kiu unujn unu l' la ank' ankaŭ 5n 5 parolas parol",
+    "ar": "المعلمون معلم الكتاب كتاب مدرسة مدرس يستخدمون استخدم",
     "fi": "edeltäjiinsä edeltäj taloissa talo kirjastossa kirjasto asuntoihin asunto",
     "hu": "babakocsi babakocs házakban ház kalappal kalap könyvek könyv",
     "ro": "abruptă abrupt accelerare acceler vorbesc vorb cântând cânt",
