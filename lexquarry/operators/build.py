@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lexquarry.functions.analysis import tokenize
 from lexquarry.functions.stopwords import remove_stopwords
+from lexquarry.plans.session import cut
 
 
 @dataclass(frozen=True)
@@ -86,11 +87,18 @@ def stats_of(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count(F.lit(1)).alias("total_documents"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_doc_length"))
 
 
-def build_index(docs: DataFrame, id_col: str, text_cols: Iterable[str], analyzer: Analyzer = Analyzer()) -> IndexTables:
-    """The index of ``docs``. Lazy: each table is its own plan over the documents."""
+def build_index(docs: DataFrame, id_col: str, text_cols: Iterable[str], analyzer: Analyzer = Analyzer(), keep: bool = False) -> IndexTables:
+    """The index of ``docs``. Lazy: each table is its own plan over the documents.
+
+    With ``keep`` the postings, with their documents' lengths, are computed now and written once to the checkpoint folder;
+    lexicon and ranking then read them instead of the documents.
+    """
     tokens = document_tokens(docs, id_col, text_cols, analyzer)
-    rows = token_rows(tokens, analyzer)
-    postings = postings_of(rows)
+    rows = token_rows(tokens, analyzer, with_length=keep)
+    if keep:
+        postings = cut(rows.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("hit_count")))
+    else:
+        postings = postings_of(rows)
     lengths = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("length"))
     return IndexTables(
         postings,

@@ -27,8 +27,8 @@ PHRASES = ("cold engine", "the final race", "young director mechanic", "engine",
 BATCH = tuple(enumerate(PHRASES))
 
 
-def _index(spark: SparkSession, d: str, analyzer: Analyzer = Analyzer()) -> IndexTables:
-    return build_index(table(spark, d, "documents"), "doc_id", ["text"], analyzer)
+def _index(spark: SparkSession, d: str, analyzer: Analyzer = Analyzer(), keep: bool = False) -> IndexTables:
+    return build_index(table(spark, d, "documents"), "doc_id", ["text"], analyzer, keep)
 
 
 def _parts(spark: SparkSession, d: str) -> IndexTables:
@@ -124,7 +124,7 @@ def levenshtein_terms(spark, d):
 
 
 def _ranked(spark, d, phrases=PHRASES[:1], fuzzy=False, as_you_type=False, config=Config(proximity_boost=0.0), limit=100, offset=0, index=None):
-    index = index or _index(spark, d)
+    index = index or _index(spark, d, keep=True)
     keywords = keyword_table(spark, list(phrases), index.analyzer, as_you_type)
     terms = resolve(keywords, index.lexicon, config, fuzzy)
     return search(index, terms, config, fuzzy, limit, offset, max(len(p.split()) for p in phrases))
@@ -164,7 +164,7 @@ def bm25_proximity(spark, d):
 
 def bm25_batch(spark, d):
     """All phrases at once, from a table, the last word of each as a beginning, with proximity."""
-    index = _index(spark, d)
+    index = _index(spark, d, keep=True)
     queries = spark.createDataFrame(list(BATCH), "query_id bigint, phrase string")
     keywords = analyze_queries(queries)
     return search(index, resolve(keywords, index.lexicon), Config(), False, 10, 0, 3)
@@ -231,7 +231,7 @@ def stems(spark, d):
 
 
 def bm25_stemmed(spark, d):
-    index = _index(spark, d, Analyzer("en", STOPWORDS, True))
+    index = _index(spark, d, Analyzer("en", STOPWORDS, True), keep=True)
     return _ranked(spark, d, ["racing engines"], index=index, as_you_type=True, config=Config())
 
 
