@@ -15,15 +15,18 @@ from lexquarry.plans.session import cut
 DECIMALS = 6
 
 
-def fetch(index: IndexTables, terms: DataFrame, config: Config, fuzzy: bool) -> DataFrame:
+def fetch(index: IndexTables, terms: DataFrame, config: Config, fuzzy: bool, no_limit: bool = False) -> DataFrame:
     """``query_id, kw_idx, term, doc_id, hit_count, df`` (and ``length`` if postings have it): of each keyword's postings the ``max_docs`` with most hits.
 
     A keyword can use no more than ``max_docs`` postings of a term, so terms are capped first, once for all
     queries that share them, and only then meet the keywords. Either ranking starts on each task's own rows:
     of a frequent term no more than ``max_docs`` rows of a task are moved. With ``fuzzy`` closer terms come first.
+    With ``no_limit`` every posting is kept, whatever ``max_docs``.
     """
     by_kw = Window.partitionBy("query_id", "kw_idx")
     wanted = terms.withColumn("df", F.sum("num_docs").over(by_kw)).select("query_id", "kw_idx", "term", "rnk", "df")
+    if no_limit:
+        return index.postings.join(wanted.drop("rnk"), "term")
     by_term = Window.partitionBy("term").orderBy(F.col("hit_count").desc(), "doc_id")
     best = (
         index.postings.join(terms.select("term").distinct(), "term", "left_semi")

@@ -171,11 +171,18 @@ def bm25_batch(spark, d):
 
 
 def part_search(spark, d):
-    """The name of every part as a query over all parts, the best three for each."""
+    """The name of every part as a query over all parts, the best three for each.
+
+    Every part that shares a word with a name is scored, without a cap. Equal names have equal answers, so a name is searched once.
+    """
     parts = _parts(spark, d)
-    queries = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("phrase"))
-    keywords = analyze_queries(queries, as_you_type=False)
-    return search(parts, resolve(keywords, parts.lexicon), Config(max_docs=50, proximity_boost=0.0), False, 3, 0, 1)
+    named = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("query_id"), F.col("p_name").alias("phrase"))
+    names = named.groupBy("phrase").agg(F.min("query_id").alias("first"))
+    terms = resolve(analyze_queries(names.select(F.col("first").alias("query_id"), "phrase"), as_you_type=False), parts.lexicon)
+    config = Config(proximity_boost=0.0)
+    page = search(parts, terms, config, False, 3, 0, 1, fetch(parts, terms, config, False, no_limit=True))
+    asked = named.join(names, "phrase").join(page.withColumnRenamed("query_id", "first"), "first")
+    return asked.select("query_id", "doc_id", "score", "rank", "hits")
 
 
 def proximity_spans(spark, d):
