@@ -11,3 +11,10 @@ def test_part_search_finds_parts_beyond_any_cap(spark, tmp_path):
     assert len(rows) == 3 * len(parts)
     assert {(r["doc_id"], r["rank"]) for r in rows if r["query_id"] == 1202} == {(1201, 1), (1202, 2), (1203, 3)}
     assert {r["hits"] for r in rows if r["query_id"] > 1200} == {1203} and {r["hits"] for r in rows if r["query_id"] <= 600} == {603}
+
+
+def test_levenshtein_terms_has_the_whole_lexicon(spark, tmp_path):
+    docs = [(1, "engine enginé éngine"), (2, "двигатель 工程 がぎ 𠀀ngine")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["term"]: r["distance"] for r in entry.queries()["levenshtein_terms"](spark, str(tmp_path)).collect()}
+    assert found == {"engine": 0, "enginé": 1, "éngine": 1, "двигатель": 9, "工程": 6, "がぎ": 6, "𠀀ngine": 1}
