@@ -89,20 +89,25 @@ class Mix:
         self.budgets, self.rows = budgets, rows
 
     def report(self) -> DataFrame:
-        """Per planned source: the target, what the mix holds, its share of the planned size and of the mix as it came out, and whether the target is reachable."""
+        """Per planned source: the target, what the mix holds, its share of the planned size and of the mix as it came out, and whether the target is reachable.
+
+        It isn't where the mix holds all the uses that the source has and still misses the target.
+        """
         used = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"), F.max("epoch").alias("last_epoch"))
         of = self.budgets.agg(F.sum("source_tokens")).scalar()
+        got = F.coalesce("mix_tokens", F.lit(0))
+        spent = got >= F.col("max_repeats").cast("double") * F.col("source_tokens")
         return self.budgets.join(used, "source", "left").select(
             "source",
             "target_share",
             "max_repeats",
             "source_tokens",
             "exponent",
-            F.coalesce("mix_tokens", F.lit(0)).cast("bigint").alias("mix_tokens"),
+            got.cast("bigint").alias("mix_tokens"),
             F.coalesce(F.col("mix_tokens") / of, F.lit(0.0)).alias("reached_share"),
             F.coalesce(F.col("mix_tokens") / used.agg(F.sum("mix_tokens")).scalar(), F.lit(0.0)).alias("mix_share"),
             F.coalesce(F.col("last_epoch") + 1, F.lit(0)).alias("most_uses"),
-            "reachable",
+            (~(spent & (got < F.col("target_share") * of))).alias("reachable"),
         )
 
 
