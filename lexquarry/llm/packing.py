@@ -155,8 +155,9 @@ def pack_documents(documents: DataFrame, plan: DataFrame, size: str | None = Non
 
 
 def split_by_packing(packed: DataFrame) -> DataFrame:
-    """Documents that ``pack_documents`` had to split because they exceed the capacity."""
-    return packed.where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("doc_id")
+    """Documents that ``pack_documents`` had to split because they exceed the capacity: those that lie in several containers."""
+    lies = packed.groupBy("source", "doc_id").agg(F.count_distinct("container_id").alias("n"))
+    return lies.where(F.col("n") > 1).select("doc_id")
 
 
 def container_report(packed: DataFrame) -> DataFrame:

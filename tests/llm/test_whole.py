@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexquarry.llm.mixing import Mix, mix_documents
+from lexquarry.llm.packing import pack_documents, split_by_packing
 
 SF = "/root/testdata/sf0.001"
 DOCS, PLAN = "doc_id bigint, source string, text string", "source string, target_share double, max_repeats int, capacity int"
@@ -23,3 +24,14 @@ def test_mix_decides_what_is_reachable(spark):
 
 def test_p8_found_runs_the_mix(spark):
     assert "Window" in plan_of(entry.queries()["p8_found"](spark, SF))
+
+
+def test_containers_decide_what_is_split(spark):
+    docs = [(i, "a", "w " * i) for i in range(1, 13)] + [(100, "a", "w " * 20)]
+    packed = pack_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("a", 1.0, 1, 10)], PLAN))
+    untold = packed.withColumn("n_pieces", F.lit(None).cast("int"))
+    assert sorted(r[0] for r in split_by_packing(untold).collect()) == [11, 12, 100]
+
+
+def test_p7_found_runs_the_packing(spark):
+    assert "Window" in plan_of(entry.queries()["p7_found"](spark, SF))
