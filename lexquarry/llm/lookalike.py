@@ -87,7 +87,14 @@ def _plain_forms() -> dict[int, str]:
 
 
 PLAIN = _plain_forms()
-_ANY_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in PLAIN) + "]")
+#: With what is rarer and not in the SQL: invisible tags and variation selectors, and radicals, which become their Han characters.
+_PLAIN = (
+    PLAIN
+    | dict.fromkeys([0xE0001, *range(0xE0020, 0xE0080), *range(0xE0100, 0xE01F0)], "")
+    | {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0x2F00, 0x2FD6)}
+)
+# Ranges, as each single character beyond U+FFFF is compared with every character of a text.
+_ANY_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in _PLAIN if c < 0xE0000) + "\U000e0001\U000e0020-\U000e007f\U000e0100-\U000e01ef]")
 _ANY_LOOK = re.compile("[" + "".join(map(chr, LOOK)) + "]")
 #: Alphabets that have look-alike letters, and the letters that have or are twins.
 _ANY_FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f\u1f00-\u1fff]")
@@ -107,13 +114,13 @@ _INTO = {s: {ord(b): chr(a) for a, b in LOOK.items() if len(b) == 1 and _SCRIPTS
 def normalise(text: str) -> str:
     """``text`` without what can't be seen: see the module's docstring. A text of plain ASCII comes back as it is."""
     if _ANY_PLAIN.search(text):
-        text = text.translate(PLAIN)
+        text = text.translate(_PLAIN)
     return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def look(text: str) -> str:
-    """Every look-alike letter of a normalised text as its twin."""
-    return text.translate(LOOK) if not text.isascii() and _ANY_LOOK.search(text) else text
+    """Every look-alike letter of a normalised text as its twin, composed with the accents that follow it."""
+    return unicodedata.normalize("NFC", text.translate(LOOK)) if not text.isascii() and _ANY_LOOK.search(text) else text
 
 
 @lru_cache(100_000)
@@ -140,9 +147,13 @@ def fold_token(token: str) -> str:
         return base
     (script,) = own
     into = _INTO.get(script)
-    if not into or any(_SCRIPTS["latin"].match(c) and ord(c) not in into for c in base):
+    if not into:
+        return base
+    # A script may have the letter under an accent only as two characters.
+    apart = "".join(c if ord(c) in into or not _SCRIPTS["latin"].match(c) else unicodedata.normalize("NFD", c) for c in base)
+    if any(_SCRIPTS["latin"].match(c) and ord(c) not in into for c in apart):
         return base
-    return base.translate(into)
+    return unicodedata.normalize("NFC", apart.translate(into))
 
 
 def fold_mixed(text: str) -> str:

@@ -1,8 +1,10 @@
 """The queries of results run the method that they are results of."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexquarry.llm.lookalike import fold_token, look, normalise
 from lexquarry.llm.mixing import Mix, mix_documents
 from lexquarry.llm.packing import pack_documents, split_by_packing
 
@@ -35,3 +37,16 @@ def test_containers_decide_what_is_split(spark):
 
 def test_p7_found_runs_the_packing(spark):
     assert "Window" in plan_of(entry.queries()["p7_found"](spark, SF))
+
+
+@pytest.mark.parametrize(
+    "a,b",
+    [("c\u043e\u0301p", "c\u00f3p"), ("\u03bf\u0302", "\u00f4"), ("a\U000e0001b\U000e0061", "ab"), ("\u845b\U000e0100", "\u845b"), ("\u2f00\u2fd5", "\u4e00\u9fa0")],
+)
+def test_rare_look_alikes(a, b):
+    assert look(normalise(a)) == look(normalise(b)) == look(look(normalise(a)))
+
+
+def test_folding_keeps_separate_accents():
+    folded = "\u0436\u0435\u0301"
+    assert fold_token("\u0436e\u0301") == fold_token("\u0436\u00e9") == fold_token(folded) == folded and look(folded) == "\u0436\u00e9"
