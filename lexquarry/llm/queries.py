@@ -14,6 +14,9 @@ from lexquarry.llm.termstats import term_statistics
 from lexquarry.llm.topn import top_postings
 from lexquarry.plans.session import table
 
+#: Entropy in nats of the shares of p8_tempered; 12 equal shares have 2.485.
+ENTROPY = 2.4
+
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     return term_statistics(table(spark, d, "doclist"), table(spark, d, "wordlist"))
@@ -93,6 +96,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_documents(table(spark, d, "documents"), table(spark, d, "source_plan")).report()
 
 
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """A mix by token shares alone, raised to the exponent that gives them the entropy ENTROPY."""
+    return mix_documents(table(spark, d, "documents"), table(spark, d, "source_plan"), entropy=ENTROPY).report()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents")).where(F.col("piece_no") == 0).select("doc_id")
 
@@ -103,7 +111,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p7_found, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_pieces)
+    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p7_found, p7_pack, p7_report, p8_found, p8_mix, p8_report, p8_tempered, p9_found, p9_pieces)
 }
 
 _TERMS = """
@@ -126,6 +134,54 @@ with sizes as (
   from documents)
 """
 
+# Budgets as in source_budgets, then every use of a document in the order of its hash.
+_MIX = (
+    _SIZES
+    + """,
+items as (select source, doc_id, max(tokens) n from sizes join source_plan using (source) where doc_id is not null group by 1, 2),
+have as (select p.source, p.target_share t, p.max_repeats m, cast(coalesce(sum(n), 0) as bigint) tokens from source_plan p left join items using (source) group by 1, 2, 3),
+total as (select cast(sum(tokens) as bigint) of_all from have), $shares
+wanted as (select *, share * of_all want, m * tokens most, least(want, most) base, most - base room from shares, total),
+spare as (select max(of_all) - sum(base) spare, sum(room) rooms, list({'r': room, 'w': want}) filter (room > 0) free from wanted),
+bisected as (
+  select *, list_reduce(range(61), lambda b, i: case
+      when list_bool_and(list_transform(free, lambda x: spare * x.r * pow(x.w / x.r, b.try)
+           <= x.r * list_sum(list_transform(free, lambda y: y.r * pow(y.w / y.r, b.try)))))
+      then {'lo': b.try, 'hi': b.hi, 'try': (b.try + b.hi) / 2} else {'lo': b.lo, 'hi': b.try, 'try': (b.lo + b.try) / 2} end,
+      {'lo': 0.0::double, 'hi': 1.0::double, 'try': 1.0::double}).lo a
+  from spare),
+budgets as (
+  select *, case when spare <= 0 then 1.0 when spare >= rooms then 0.0 else a end exponent,
+         case when spare <= 0 then base when spare >= rooms then most
+              else least(most, base + spare * room * pow(want / nullif(room, 0), a)
+                   / list_sum(list_transform(free, lambda y: y.r * pow(y.w / y.r, a)))) end budget
+  from wanted, bisected),
+placed as (
+  select *, floor(budget / tokens) whole, budget - floor(budget / tokens) * tokens remains,
+         coalesce(sum(n) over (partition by source order by md5('7:' || doc_id), doc_id rows between unbounded preceding and 1 preceding), 0) start
+  from items join budgets using (source) where budget > 0 and tokens > 0),
+mix as (
+  select *, unnest(range(cast(whole + case when remains > 0 and start + n / 2 < remains then 1 else 0 end as integer))) epoch from placed)
+"""
+)
+_TARGETS = "shares as (select *, t share from have),"
+_TEMPERED = """
+tokens as (select list(tokens / of_all) filter (tokens > 0) q from have, total),
+heat as (
+  select list_reduce(range(61), lambda b, i: case
+      when -list_sum(list_transform(q, lambda x: pow(x, b.try) / list_sum(list_transform(q, lambda y: pow(y, b.try)))
+           * ln(pow(x, b.try) / list_sum(list_transform(q, lambda y: pow(y, b.try)))))) >= $entropy
+      then {'lo': b.try, 'hi': b.hi, 'try': (b.try + b.hi) / 2} else {'lo': b.lo, 'hi': b.try, 'try': (b.lo + b.try) / 2} end,
+      {'lo': 0.0::double, 'hi': 1.0::double, 'try': 1.0::double}).lo heat, q from tokens),
+shares as (
+  select have.*, case when tokens > 0 then pow(tokens / of_all, heat) / list_sum(list_transform(q, lambda y: pow(y, heat))) else 0 end share
+  from have, total, heat),"""
+_REPORT = """
+, held as (select source, cast(sum(n) as bigint) got, max(epoch) + 1 uses from mix group by 1)
+select source, t target_share, m max_repeats, tokens source_tokens, round(exponent, 6) exponent, coalesce(got, 0) mix_tokens,
+       round(coalesce(got, 0) / of_all, 6) reached_share, round(coalesce(got, 0) / (select sum(got) from held), 6) mix_share,
+       coalesce(uses, 0) most_uses, not (coalesce(got, 0) >= most and coalesce(got, 0) < t * of_all) reachable
+from budgets left join held using (source)"""
 
 
 def _quoted(text: str) -> str:
@@ -170,5 +226,9 @@ where a.x <> b.x""",
     + """, have as (select source, sum(tokens) tokens from sizes join source_plan using (source) group by 1)
 select p.source from source_plan p left join have h using (source)
 where p.max_repeats * coalesce(h.tokens, 0) < p.target_share * (select sum(tokens) from have)""",
+    "p8_mix": _MIX.replace("$shares", _TARGETS)
+    + "select source, doc_id, cast(epoch as integer) epoch, n n_tokens, round(least(1.0, (epoch * tokens + start) / budget), 9) mix_pos from mix",
+    "p8_report": _MIX.replace("$shares", _TARGETS) + _REPORT,
+    "p8_tempered": _MIX.replace("$shares", _TEMPERED.replace("$entropy", str(ENTROPY))) + _REPORT,
     "p9_found": _SIZES + "select doc_id from sizes where tokens > 400",
 }
