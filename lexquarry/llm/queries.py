@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexquarry.llm.langid import detect_languages, fit_with_documents, labelled, languages_of, wrong_labels
 from lexquarry.llm.lookalike import LOOK, PLAIN, canonical_texts, lookalike_pairs
 from lexquarry.llm.mixing import mix_documents
-from lexquarry.llm.packing import container_report, pack_documents, split_by_packing
+from lexquarry.llm.packing import container_check, container_report, pack_documents, split_by_packing
 from lexquarry.llm.splitting import split_documents
 from lexquarry.llm.termstats import term_statistics
 from lexquarry.llm.topn import top_postings
@@ -84,6 +84,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return container_report(_packed(spark, d))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    return container_check(_packed(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).where(~F.col("reachable")).select("source")
 
@@ -111,7 +115,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p7_found, p7_pack, p7_report, p8_found, p8_mix, p8_report, p8_tempered, p9_found, p9_pieces)
+    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p7_found, p7_pack, p7_report, p7_check, p8_found, p8_mix, p8_report, p8_tempered, p9_found, p9_pieces)
 }
 
 _TERMS = """
@@ -222,6 +226,12 @@ l as (select field_name, k, x, {_look_sql()} look from t)
 select a.field_name, least(a.k, b.k) key_a, greatest(a.k, b.k) key_b from l a join l b on a.field_name = b.field_name and a.look = b.look and a.k < b.k
 where a.x <> b.x""",
     "p7_found": _SIZES + "select doc_id from sizes join source_plan using (source) where tokens > capacity",
+    # What every right packing has; which documents share a container is best fit's own choice.
+    "p7_check": _SIZES
+    + """
+select source, count(*) n_documents, cast(sum(greatest(1, ceil(tokens / capacity))) as bigint) n_pieces, cast(sum(tokens) as bigint) n_tokens,
+       0 overfull, 0 split_small, 0 misnumbered, true tight
+from sizes join source_plan using (source) where doc_id is not null group by 1""",
     "p8_found": _SIZES
     + """, have as (select source, sum(tokens) tokens from sizes join source_plan using (source) group by 1)
 select p.source from source_plan p left join have h using (source)
