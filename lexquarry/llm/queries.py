@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.langid import detect_languages, fit_with_documents, labelled, languages_of, wrong_labels
-from lexquarry.llm.lookalike import LOOK, PLAIN, canonical_texts, lookalike_pairs
+from lexquarry.llm.lookalike import canonical_texts, lookalike_classes, lookalike_pairs
 from lexquarry.llm.mixing import mix_documents
 from lexquarry.llm.packing import container_check, container_report, pack_documents, split_by_packing
 from lexquarry.llm.splitting import split_documents
@@ -65,7 +67,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
-    return canonical_texts(_texts(spark, d)).select("field_name", "key", "form", F.hex("look").alias("look"))
+    return canonical_texts(_texts(spark, d)).select("field_name", "key", "form", F.hex("form_id").alias("form_id"))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that has others that look the same, with its class; one row for each key."""
+    return lookalike_classes(canonical_texts(_texts(spark, d), keep_text=False))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +122,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p7_found, p7_pack, p7_report, p7_check, p8_found, p8_mix, p8_report, p8_tempered, p9_found, p9_pieces)
+    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p6_classes, p7_found, p7_pack, p7_report, p7_check, p8_found, p8_mix, p8_report, p8_tempered, p9_found, p9_pieces)
 }
 
 _TERMS = """
@@ -188,24 +195,50 @@ select source, t target_share, m max_repeats, tokens source_tokens, round(expone
 from budgets left join held using (source)"""
 
 
+# Fixed values of the SQL of p6_found, written for it alone: what the operator derives from Unicode's data or keeps in its own
+# table stands here as plain text, so that a wrong or missing letter on either side shows.
+_GONE = r"[\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{61C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{E0000}-\x{E0FFF}]"
+_SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_HALF_KANA = "｡｢｣､･ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ"
+_KANA = "。「」、・ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン\u3099\u309a"
+_LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")]
+_ALIKE = [
+    ("аАВеЕКМНоОрРсСТуУхХіІјЈѕЅԁһԛԚԝԜӏӀѵҮԌ", "aABeEKMHoOpPcCTyYxXiIjJsSdhqQwWlIvYG"),
+    ("ΑΒΕΖΗΙΚΜΝΟοΡρΤΥΧνϲϳ", "ABEZHIKMNOoPpTYXvcj"),
+    ("օսհոց", "ouhng"),
+    ("ɡ", "g"),
+    ("力工口二夕卜八一へべぺ", "カエロニタトハーヘベペ"),
+]
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def _look_sql() -> str:
-    """The look of x, by DuckDB's own string functions over the same tables of fixed values."""
-    gone = [c for c, t in PLAIN.items() if t == ""]
-    single = {chr(c): t for c, t in PLAIN.items() if len(t) == 1}
-    longer = {chr(c): t for c, t in PLAIN.items() if len(t) > 1}
-    ranges = "".join(f"\\x{{{c:X}}}" for c in gone if c)
-    x = f"regexp_replace(x, '[{ranges}]', '', 'g')"
-    for a, b in longer.items():
-        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
-    x = f"nfc_normalize(translate({x}, {_quoted(''.join(single))}, {_quoted(''.join(single.values()))}))"
-    for a, b in ((chr(c), t) for c, t in LOOK.items() if len(t) > 1):
+    """One spelling of x for all texts that look like it, by DuckDB's own string functions; accented letters one by one."""
+    x = f"regexp_replace(x, '{_GONE}', '', 'g')"
+    for a, b in _LIGATURES:
         x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
-    one = {chr(c): t for c, t in LOOK.items() if len(t) == 1}
-    return f"translate({x}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    narrow = "".join(map(chr, range(0x21, 0x7F)))
+    pairs = [(wide, narrow), (_SPACES, " " * len(_SPACES)), (_HALF_KANA, _KANA)]
+    x = f"nfc_normalize(translate({x}, {_quoted(''.join(a for a, _ in pairs))}, {_quoted(''.join(b for _, b in pairs))}))"
+    for letters, twins in _ALIKE:
+        x = f"translate({x}, {_quoted(letters)}, {_quoted(twins)})"
+    for accent in "\u0300\u0301\u0302\u0306\u0308":
+        for letters, twins in _ALIKE[:2]:
+            for a, b in zip(letters, twins):
+                one = unicodedata.normalize("NFC", a + accent)
+                if len(one) == 1:
+                    x = f"replace({x}, {_quoted(one)}, {_quoted(unicodedata.normalize('NFC', b + accent))})"
+    return f"nfc_normalize({x})"
+
+
+_LOOKS = """
+with t as (select 'wordlist.term' field_name, id k, term x from wordlist where term is not null
+           union all select 'documents.body', doc_id, body from documents where trim(body) <> ''),
+l as (select field_name, k, x, {look} look from t)"""
 
 
 SQL = {
@@ -219,12 +252,16 @@ with latest as (
 ranked as (
   select term_id, doc_id, cast(row_number() over (partition by term_id order by hit_count desc, doc_id) as integer) rnk from latest where r = 1)
 select * from ranked where rnk <= 3""",
-    "p6_found": f"""
-with t as (select 'wordlist.term' field_name, id k, term x from wordlist where term is not null
-           union all select 'documents.body', doc_id, body from documents where trim(body) <> ''),
-l as (select field_name, k, x, {_look_sql()} look from t)
+    "p6_found": _LOOKS.format(look=_look_sql())
+    + """
 select a.field_name, least(a.k, b.k) key_a, greatest(a.k, b.k) key_b from l a join l b on a.field_name = b.field_name and a.look = b.look and a.k < b.k
 where a.x <> b.x""",
+    "p6_classes": _LOOKS.format(look=_look_sql())
+    + """,
+texts as (select field_name, look, x, count(*) n, min(k) k from l group by 1, 2, 3),
+classes as (select field_name, look, min(k) class_id, count(*) n_texts, sum(n) n_keys from texts group by 1, 2 having count(*) > 1)
+select field_name, l.k "key", class_id, n_texts, cast(n_keys - n as bigint) n_links
+from l join classes using (field_name, look) join texts using (field_name, look, x)""",
     "p7_found": _SIZES + "select doc_id from sizes join source_plan using (source) where tokens > capacity",
     # What every right packing has; which documents share a container is best fit's own choice.
     "p7_check": _SIZES

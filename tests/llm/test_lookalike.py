@@ -5,7 +5,22 @@ import random
 
 import pytest
 
-from lexquarry.llm.lookalike import canonical_texts, fold_token, look, lookalike_pairs, mixed_tokens, normalise
+from lexquarry.llm.lookalike import (
+    _LETTERS as LETTERS,
+    LOOK,
+    canonical_token,
+    canonical_texts,
+    fold_token,
+    latin_look,
+    look,
+    lookalike_classes,
+    lookalike_pairs,
+    mixed_tokens,
+    normalise,
+    repair,
+    settle,
+    settle_kana,
+)
 
 SAME = [
     ("ａｂｃ１", "abc1"),
@@ -24,8 +39,15 @@ SAME = [
     ("ёж", "ëж"),
     ("ÅΩ", "ÅΩ"),
     ("エ", "工"),
+    ("ꓓꓳꓖ", "DOG"),
+    ("ᎪᏟᎬ", "ACE"),
+    ("ⲣⲟⲣ", "pop"),
+    ("ᴄᴏᴡ", "cow"),
+    ("𝖼𝖺𝗋 𝟸𝟶", "car 20"),
+    ("a\u180bb\u2800c", "ab c"),
+    ("x\U000e0041y", "xy"),
 ]
-DIFFERENT = [("cafe", "café"), ("A", "a"), ("o", "0"), ("l", "1"), ("x²", "x2"), ("ab", "a b"), ("ß", "ss"), ("rn", "m"), ("a-b", "a b"), ("ñ", "n")]
+DIFFERENT = [("cafe", "café"), ("A", "a"), ("o", "0"), ("l", "1"), ("x²", "x2"), ("ab", "a b"), ("ß", "ss"), ("rn", "m"), ("a-b", "a b"), ("ñ", "n"), ("\u0600a", "a"), ("𝐚", "a"), ("ι", "i")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -73,6 +95,56 @@ def test_vocabulary_decides_between_scripts(spark):
     rows = [("f", 1, "сор сор"), ("f", 2, "сoр")]
     form = {r["key"]: r["form"] for r in canonical_texts(frame(spark, rows)).collect()}
     assert form == {1: "сор сор", 2: "сор"}
+    form = {r["key"]: r["form"] for r in canonical_texts(frame(spark, [*rows, ("f", 3, "cop")])).collect()}
+    assert form == {1: "cop cop", 2: "cop", 3: "cop"}
+
+
+def test_the_text_decides_where_letters_do_not(spark):
+    rows = [("f", 1, "в дом a не cop"), ("f", 2, "в дом а не сор"), ("f", 3, "good cop"), ("f", 4, "good сор"), ("f", 5, "スター"), ("f", 6, "スタ一"), ("f", 7, "二人"), ("f", 8, "ニ人")]
+    form = {r["key"]: r["form"] for r in canonical_texts(frame(spark, rows)).collect()}
+    assert form[1] == form[2] == "в дом а не сор" and form[3] == form[4] == "good cop" and form[5] == form[6] == "スター" and form[7] == form[8] == "二人"
+
+
+def forms_by_hand(texts):
+    """Forms of texts that are the whole corpus, one after the other."""
+    plain = [settle_kana(normalise(t)) for t in texts]
+    known = {}
+    for t in sorted({t for f in plain for t in LETTERS.findall(f)}):
+        if canonical_token(t):
+            n = sum(LETTERS.findall(f).count(t) for f in plain)
+            known.setdefault(latin_look(t), []).append((t != latin_look(t), -n, t))
+    told = {b: min(v)[2] for b, v in known.items()}
+    return [repair(f, {t: told.get(latin_look(t), fold_token(t)) for t in ask}) for f, ask in map(settle, plain)]
+
+
+def test_equal_forms_are_equal_looks():
+    """Texts whose look-alikes were swapped at random get one form, others don't, and a form looks like its text."""
+    rng = random.Random(11)
+    twins = {}
+    for c, b in LOOK.items():
+        if len(b) == 1:
+            twins.setdefault(b, []).append(chr(c))
+    letters, rest = list(twins), list("dfgkmtжщилбωλπաբⲁᏀꓛスメ字の1 ., é\u0301")
+    for _ in range(1500):
+        base = [rng.choice(letters if rng.random() < 0.6 else rest) for _ in range(rng.randint(1, 14))]
+        made = ["".join(rng.choice(twins[c]) if c in twins and rng.random() < 0.4 else c for c in base) for _ in range(3)]
+        made.append(made[0][:-1] + rng.choice(letters))
+        forms, looks = forms_by_hand(made), [look(normalise(m)) for m in made]
+        for f, lk in zip(forms, looks):
+            assert look(f) == lk and (f == forms[0]) == (lk == looks[0])
+
+
+def test_without_repair_pairs_are_lost(spark):
+    rows = frame(spark, [("f", 1, "картине"), ("f", 2, "кapтинe"), ("f", 3, "passat"), ("f", 4, "pаssаt"), ("f", 5, "abc"), ("f", 6, "a\u200bbc")])
+    pairs = lambda **k: {tuple(r)[1:] for r in lookalike_pairs(canonical_texts(rows, keep_text=False, **k)).collect()}
+    assert pairs() == {(1, 2), (3, 4), (5, 6)} and pairs(repaired=False) == {(5, 6)}
+
+
+def test_classes(spark):
+    rows = [("f", i, t) for i, t in enumerate(["passat", "pаssat", "passat", "pаssаt", "other", "PASSAT"])] + [("g", 9, "pаssat")]
+    got = {(r["field_name"], r["key"]): (r["class_id"], r["n_texts"], r["n_links"]) for r in lookalike_classes(canonical_texts(frame(spark, rows))).collect()}
+    assert got == {("f", 0): (0, 3, 2), ("f", 1): (0, 3, 3), ("f", 2): (0, 3, 2), ("f", 3): (0, 3, 3)}
+    assert lookalike_classes(canonical_texts(frame(spark, []))).count() == 0
 
 
 def test_pairs(spark):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexquarry.llm import packing
 from lexquarry.llm.lookalike import fold_token, look, normalise
 from lexquarry.llm.mixing import Mix, mix_documents
 from lexquarry.llm.packing import pack_documents, split_by_packing
@@ -35,8 +36,12 @@ def test_containers_decide_what_is_split(spark):
     assert sorted(r[0] for r in split_by_packing(untold).collect()) == [11, 12, 100]
 
 
-def test_p7_found_runs_the_packing(spark):
-    assert "Window" in plan_of(entry.queries()["p7_found"](spark, SF))
+def test_p7_found_runs_the_packing(spark, monkeypatch):
+    """Its plan reads the documents with the containers that the supersteps gave them."""
+    steps, sweep = [], packing.successor_sweep
+    monkeypatch.setattr(packing, "successor_sweep", lambda e: (steps.append(1), sweep(e))[1])
+    found = entry.queries()["p7_found"](spark, SF)
+    assert len(steps) > 1 and plan_of(found).count("LogicalRDD") > len(steps)
 
 
 @pytest.mark.parametrize(
