@@ -20,7 +20,14 @@ from lexquarry.operators.build import Analyzer, IndexTables
 from lexquarry.operators.resolve import KEYWORDS, resolve
 
 OR, AND, NOT = "|", "&", "~"
-_BINDS = {OR: 1, AND: 2, NOT: 3}
+_BINDS = {OR: 1, AND: 2}
+
+# What a run of characters means where it stands; the first that fits. "or" needs space on both sides, and a parenthesis takes the
+# space around it, but leaves a minus the space before it.
+_COMMON = r"(?P<open>\s*\(\s*)|(?P<close>\s*\)(?:\s*+(?!-)|\s*(?=\s-))?)|"
+_LOOSE = re.compile(_COMMON + r"(?P<or>\s+or\s++(?![()&|]))|(?P<minus>\s+-)|(?P<sign>\s*[&|]\s*)|(?P<not>~)|(?P<and>\s+)|(?P<word>[^\s()&|~]+)")
+_STRICT = re.compile(_COMMON + r"(?P<or> or (?!\s*[()]))|(?P<minus> -)|(?P<sign>[&|])|(?P<not>~)|(?P<and> )|(?P<word>[^ ()&|~]+)")
+_MEANING = {"open": ("(",), "close": (")",), "or": (OR,), "minus": (AND, NOT), "not": (NOT,), "and": (AND,)}
 
 
 @dataclass(frozen=True)
@@ -43,75 +50,87 @@ class _Not:
     of: "Leaf | Node | None"
 
 
-def lex(expression: str, strict_compat: bool = False) -> list[str]:
-    """Words and operators of an expression."""
-    s = expression.lower()
-    s = re.sub(r"\s*\(\s*", "(", s)
-    s = re.sub(r"\s*\)\s*(?!-)", ")", s)
-    if not strict_compat:
-        s = re.sub(r"\s+", " ", s.strip())
-        s = re.sub(r" ?([&|]) ?", r"\1", s)
-    for spelled, sign in ((" or ", OR), (" -", AND + NOT), (" ", AND)):
-        s = s.replace(spelled, sign)
-    if not strict_compat:
-        s = re.sub(r"&+", "&", s)
-    return [t for t in re.split(r"([|~&()])", s) if t]
-
-
-def to_postfix(expression: str, strict_compat: bool = False) -> tuple[list[str], str | None]:
-    """(operands and operators in postfix order, the last operand)."""
+def scan(expression: str, strict_compat: bool = False) -> list[str]:
+    """Words and signs of an expression."""
     out: list[str] = []
-    waiting: list[str] = []
-    last = None
-    for t in lex(expression, strict_compat):
-        if t == "(":
-            waiting.append(t)
-        elif t == ")":
-            while waiting and (top := waiting.pop()) != "(":
-                out.append(top)
-        elif t in _BINDS:
-            while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[t]:
-                out.append(waiting.pop())
-            waiting.append(t)
-        else:
-            out.append(t)
-            last = t
-    return out + waiting[::-1], last
+    text = expression.lower() if strict_compat else expression.lower().strip()
+    for m in (_STRICT if strict_compat else _LOOSE).finditer(text):
+        for t in _MEANING.get(m.lastgroup, (m[0].strip(),)):
+            if strict_compat or t != AND or out[-1:] != [AND]:
+                out.append(t)
+    return out
 
 
-def parse(expression: str, as_you_type: bool = True, strict_compat: bool = False) -> Leaf | Node | None:
-    """The tree of an expression, None if it has no operand.
+class _Reader:
+    """Precedence climbing. ``values`` are trees and words that wait for a partner, ``postfix`` is noted as they find one.
 
-    The operand equal to the last one is a prefix if ``as_you_type``; after "not" it always is.
+    An "or" before the expression joins what stands side by side without a sign: the next sign to its left takes the last two that wait.
     """
-    postfix, last = to_postfix(OR + expression, strict_compat)
-    stack: list = []
 
-    def leaf(x):
-        return Leaf(x, as_you_type and x == last) if isinstance(x, str) else x
+    def __init__(self, expression: str, as_you_type: bool, strict_compat: bool):
+        self.tokens = [OR, *scan(expression, strict_compat)]
+        self.at, self.values, self.postfix, self.as_you_type = 0, [], [], as_you_type
+        self.last = next((t for t in reversed(self.tokens) if t not in (OR, AND, NOT, "(", ")")), None)
+        while self.at < len(self.tokens):
+            self.climb(1)
+            self.at += 1  # a closing parenthesis that closes nothing
+
+    def ahead(self) -> str | None:
+        return self.tokens[self.at] if self.at < len(self.tokens) else None
+
+    def climb(self, weakest: int) -> None:
+        self.operands()
+        while (sign := self.ahead()) in _BINDS and _BINDS[sign] >= weakest:
+            self.at += 1
+            self.climb(_BINDS[sign] + 1)
+            self.join(sign)
+
+    def operands(self) -> None:
+        while (t := self.ahead()) is not None and t != ")" and t not in _BINDS:
+            self.at += 1
+            if t == "(":
+                self.climb(1)
+                self.at += 1
+            elif t == NOT:
+                self.operands()
+                self.postfix.append(NOT)
+                x = self.values.pop() if self.values else None
+                self.values.append(_Not(Leaf(x, x == self.last) if isinstance(x, str) else self.found(x)))
+            else:
+                self.postfix.append(t)
+                self.values.append(t)
 
-    def positive(x):
+    def found(self, x) -> "Leaf | Node | None":
         if isinstance(x, _Not):
             raise QueryError("a word to leave out needs a word to find before it")
-        return leaf(x)
-
-    for t in postfix:
-        if t == NOT:
-            x = stack.pop() if stack else None
-            stack.append(_Not(Leaf(x, x == last) if isinstance(x, str) else positive(x)))
-        elif t == AND:
-            right, left = (stack.pop() if stack else None), (stack.pop() if stack else None)
-            if isinstance(right, _Not):
-                stack.append(Node("minus", positive(left), right.of))
-            else:
-                stack.append(Node("and", positive(left), positive(right)))
-        elif t == OR:
-            right, left = (stack.pop() if stack else None), (stack.pop() if stack else None)
-            right, left = positive(right), positive(left)
-            stack.append(Node("or", left, right) if left and right else left or right)
+        return Leaf(x, self.as_you_type and x == self.last) if isinstance(x, str) else x
+
+    def join(self, sign: str) -> None:
+        self.postfix.append(sign)
+        right = self.values.pop() if self.values else None
+        left = self.values.pop() if self.values else None
+        if sign == AND and isinstance(right, _Not):
+            tree = Node("minus", self.found(left), right.of)
+        elif sign == AND:
+            tree = Node("and", self.found(left), self.found(right))
         else:
-            stack.append(t)
-    return positive(stack.pop()) if stack else None
+            parts = [x for x in (self.found(left), self.found(right)) if x]
+            tree = Node("or", *parts) if len(parts) == 2 else parts[0] if parts else None
+        self.values.append(tree)
+
+
+def to_postfix(expression: str, strict_compat: bool = False) -> tuple[list[str], str | None]:
+    """(operands and operators in postfix order, with the "or" before the expression; the last operand)."""
+    read = _Reader(expression, True, strict_compat)
+    return read.postfix, read.last
+
+
+def parse(expression: str, as_you_type: bool = True, strict_compat: bool = False) -> Leaf | Node | None:
+    """The tree of an expression, None if it has no operand.
+
+    The operand equal to the last one is a prefix if ``as_you_type``; after "not" it always is.
+    """
+    return _Reader(expression, as_you_type, strict_compat).values[-1]
 
 
 def leaves(tree) -> list[Leaf]:

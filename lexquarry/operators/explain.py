@@ -70,5 +70,5 @@ def inspect_query(index: IndexTables, phrase: str, config: Config = Config(), fu
         "all_stripped": said["all_stripped"],
         "index_info": stats.asDict() if stats else {},
         "tokens": tokens,
-        "boolean_postfix": to_postfix("|" + phrase)[0],
+        "boolean_postfix": to_postfix(phrase)[0],
     }
