@@ -22,13 +22,15 @@ def heavy_keys(df: DataFrame, key: str, min_share: float = HEAVY_SHARE, rows_per
     ``n_salts`` is the key's rows divided by the threshold (or by ``rows_per_salt``), rounded up, so that
     a salted part is about as large as the largest key that is not heavy. Null keys are left out.
     """
-    keyed = df.select(key).where(F.col(key).isNotNull())
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = keyed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return heavy_of(counts, key, "n_rows", min_share, rows_per_salt)
+
+
+def heavy_of(counts: DataFrame, key: str, n: str, min_share: float = HEAVY_SHARE, rows_per_salt: int | None = None) -> DataFrame:
+    """``heavy_keys`` from the rows ``n`` of each key. The total is the sum of the same counts, so the rows are read once."""
+    total = counts.agg(F.sum(n)).scalar()
     unit = F.lit(rows_per_salt) if rows_per_salt else F.greatest(F.lit(1), total * F.lit(float(min_share)))
-    return counts.where(F.col("n_rows") > total * F.lit(float(min_share))).select(
-        key, F.ceil(F.col("n_rows") / unit).cast("int").alias("n_salts")
-    )
+    return counts.where(F.col(n) > total * F.lit(float(min_share))).select(key, F.ceil(F.col(n) / unit).cast("int").alias("n_salts"))
 
 
 def with_salt(df: DataFrame, key: str, spread: Column, heavy: DataFrame, salt: str = "salt") -> DataFrame:
@@ -45,8 +47,9 @@ def salted_group_stats(
     """Per key: ``n_rows`` (all rows), ``n_members`` (distinct members) and ``total`` (sum of the value).
 
     Stage one works per (key, salt): members are spread over a heavy key's salts by hash, so a member
-    lies in one salt only and the distinct counts of the salts add up. Stage two adds the parts by the
-    original key, at most ``n_salts`` rows for each. No task ever holds a whole heavy key.
+    lies in one salt only and the distinct counts of the salts add up. Repeats of a member are combined in each task before
+    they move. Stage two adds the parts by the original key, at most ``n_salts`` rows for each. No task ever holds a whole heavy key,
+    nor the repeats of one member.
 
     Rows with a null key are left out; null members count as rows, not as members; null values add
     nothing, and a key without any value has the total 0. Repeated rows count again in ``n_rows`` and
@@ -55,9 +58,7 @@ def salted_group_stats(
     rows = df.select(F.col(key).alias("__k"), F.col(member).alias("__m"), F.col(value).cast("bigint").alias("__v")).where(
         F.col("__k").isNotNull()
     )
-    heavy = heavy_keys(rows, "__k", min_share)
-    spread = F.coalesce(F.col("__m").cast("string"), F.col("__v").cast("string"))
-    salted = with_salt(rows, "__k", spread, heavy, "__salt").repartition("__k", "__salt")
+    salted = with_salt(rows, "__k", F.col("__m"), heavy_keys(rows, "__k", min_share), "__salt")
     members = salted.groupBy("__k", "__salt", "__m").agg(F.count(F.lit(1)).alias("r"), F.sum("__v").alias("v"))
     parts = members.groupBy("__k", "__salt").agg(F.sum("r").alias("r"), F.count("__m").alias("m"), F.sum("v").alias("v"))
     return parts.groupBy("__k").agg(
