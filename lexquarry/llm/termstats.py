@@ -5,27 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.operators.skew import HEAVY_SHARE, heavy_keys, salted_lookup
+from lexquarry.operators.skew import HEAVY_SHARE, heavy_keys, heavy_of, salted_lookup
+from lexquarry.plans.session import bounded
 
 #: A term in at most so many documents is rare; one in more than this share of all documents is common.
 RARE_DOCS = 2
 COMMON_SHARE = 0.2
+#: Ids (8 bytes each) of strings with several ids that are broadcast at most.
+MOST_SHARED = 500_000
 
 
-def latest_postings(postings: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
-    """(term_id, doc_id, hit_count): of repeated postings the latest, at the same time the one with more hits.
+def latest_postings(postings: DataFrame, *keys: str) -> DataFrame:
+    """(keys, hit_count): of repeated postings the latest, at the same time the one with more hits.
 
-    Hash aggregation by (term, document, time) and then by (term, document); nothing is sorted.
+    One aggregation that combines before its shuffle, so a posting that was sent again any number of times travels once from each task.
     A posting without a time is older than any other, one without hits lower than any other.
     """
-    at = F.coalesce(F.col("written_at"), F.lit("0001-01-01 00:00:00").cast(postings.schema["written_at"].dataType))
-    by_time = postings.groupBy("term_id", "doc_id", *(["salt"] if "salt" in postings.columns else []), at.alias("at")).agg(
-        F.max(F.coalesce("hit_count", F.lit(-(2**62)))).alias("h")
-    )
-    keys = [c for c in by_time.columns if c not in ("at", "h")]
-    return by_time.groupBy(*keys).agg(F.max_by("h", "at").alias("h")).withColumn(
-        "hit_count", F.when(F.col("h") > -(2**62), F.col("h"))
-    ).drop("h")
+    newest = F.max(F.struct("written_at", "hit_count")).alias("newest")
+    return postings.groupBy(*keys).agg(newest).select(*keys, "newest.hit_count")
 
 
 def term_statistics(
@@ -33,9 +30,9 @@ def term_statistics(
 ) -> DataFrame:
     """``term, n_ids, num_hits, num_docs, mark`` for every distinct string of ``lexicon.term``.
 
-    Postings are reduced to one row per (term, document) where they lie, spread by hash with heavy
-    terms salted. A string under one id needs no more than partial counts, which are combined before
-    the shuffle; only strings under several ids are counted by document, as their documents may overlap.
+    Postings are combined to one row per (term, document) before and after their one shuffle by hash, which spreads a heavy
+    term by its documents; these are added up per term id in each task, so what is shuffled next, and meets the lexicon, is
+    partial counts. Only ids of strings that several ids share keep their documents, as those may overlap; they are counted by string and document.
     ``mark``: ``rare`` (at most ``rare_docs`` documents, also none), ``common`` (more than
     ``common_share`` of all distinct documents of the postings, orphans included), else null.
 
@@ -51,18 +48,24 @@ def term_statistics(
     ids = lexicon.select("id", "term").where(F.col("term").isNotNull() & F.col("id").isNotNull()).distinct()
     terms = ids.groupBy("term").agg(F.count("id").alias("n_ids"))
     shared = terms.where(F.col("n_ids") > 1).select(F.col("term").alias("shared_term"), F.lit(True).alias("is_shared"))
-    heavy_strings = heavy_keys(ids, "term", min_share)
-    dim = salted_lookup(ids, "term", F.col("id"), shared, "shared_term", heavy_strings, "left").drop("salt")
+    named = salted_lookup(ids, "term", F.col("id"), shared, "shared_term", heavy_keys(ids, "term", min_share), "left")
+    shared_ids = named.where("is_shared").select("id", "term")
 
-    heavy = heavy_keys(posts, "term_id", min_share)
-    # The lookup spreads by (term, salt); a document has one salt, so repeats of a posting meet there.
-    named = salted_lookup(posts, "term_id", F.col("doc_id"), dim, "id", heavy)
-    once = latest_postings(named.withColumn("term_id", F.struct("term_id", "term", "is_shared")))
-    flat = once.select("term_id.term", F.when(F.col("term_id.is_shared"), F.col("doc_id")).alias("doc"), "hit_count")
-    part = flat.groupBy("term", "doc").agg(F.sum("hit_count").alias("hits"), F.count(F.lit(1)).alias("n"))
-    counted = part.groupBy("term").agg(
-        F.sum("hits").alias("hits"), F.sum(F.when(F.col("doc").isNull(), F.col("n")).otherwise(1)).alias("docs")
+    once = latest_postings(posts, "term_id", "doc_id")
+    per_id = once.groupBy("term_id").agg(F.sum("hit_count").alias("hits"), F.count(F.lit(1)).alias("docs"))
+    alone = named.where("is_shared is null").join(per_id, F.col("id") == F.col("term_id")).select("term", "hits", "docs")
+    # Where a count shows the shared ids to be few, their postings are picked out before anything moves.
+    few = bounded(shared_ids.select("id").distinct(), MOST_SHARED)
+    picked = once.join(few, F.col("term_id") == F.col("id"), "left_semi")
+    heavy = heavy_of(per_id, "term_id", "docs", min_share)
+    several = (
+        salted_lookup(picked, "term_id", F.col("doc_id"), shared_ids, "id", heavy)
+        .groupBy("term", "doc_id")
+        .agg(F.sum("hit_count").alias("hits"))
+        .groupBy("term")
+        .agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("docs"))
     )
+    counted = alone.unionByName(several)
     num_docs = F.coalesce("docs", F.lit(0)).cast("bigint")
     return terms.join(counted, "term", "left").select(
         "term",

@@ -22,7 +22,7 @@ def top_postings(postings: DataFrame, n: int = 3, min_share: float = HEAVY_SHARE
     """
     rows = postings.select("term_id", "doc_id", "hit_count", "written_at").dropna(subset=["term_id", "doc_id", "hit_count"])
     salted = with_salt(rows, "term_id", F.col("doc_id"), heavy_keys(rows, "term_id", min_share))
-    latest = latest_postings(salted.repartition("term_id", "salt"))
+    latest = latest_postings(salted, "term_id", "salt", "doc_id")
     order = (F.col("hit_count").desc(), F.col("doc_id").asc())
     within = latest.withColumn("r", F.row_number().over(Window.partitionBy("term_id", "salt").orderBy(*order))).where(F.col("r") <= n)
     ranked = within.withColumn("rnk", F.row_number().over(Window.partitionBy("term_id").orderBy(*order))).where(F.col("rnk") <= n)
