@@ -155,27 +155,24 @@ def armenian(word: str) -> str:
     return w
 
 
-# Hindi. Endings by what may stand before them: nothing, or one of the vowels that link them to a verb.
-HI_PLAIN = (
-    "ी ु ू े ो ् ि ा ं अ आ इ ई उ ऊ ए ओ ां ें ों ीं ुआं उआं ुएं उएं ुओं उओं आं एं ओं इए िए कर ाया आया ाए आए ाओ आओ ाई आई ाईं आईं ईं ाएं आएं ाओं आओं "
-    "ाँ आँ ियाँ इयाँ ाइयाँ आइयाँ ियां इयां ाइयां आइयां ियों इयों ाइयों आइयों"
-).split()
-HI_LINKED = {
-    "अ आ ा": "ता ती ते तीं ना नी ने ताएं ताओं नाएं नाओं कर".split(),
-    "आ ा": "एगा एगी एंगे एंगी ओगे ओगी ऊंगा ऊंगी".split(),
-}
-HI_FUTURE = "ूंगा ूंगी ऊंगा ऊंगी ेगा ेगी एगा एगी ेंगे ेंगी एंगे एंगी ोगे ोगी ओगे ओगी".split()
-HI_ENDINGS = (
-    set(HI_PLAIN) - {"ं"}
-    | set(HI_FUTURE)
-    | {e for ends in HI_LINKED.values() for e in ends}
-    | {v + e for vs, ends in HI_LINKED.items() for v in vs.split() for e in ends}
+# Hindi, flat. Endings that go wherever they stand, and endings that go after a consonant only.
+HI_ENDINGS = set(
+    "ी ूंगी ेंगी ऊंगी आऊंगी ाऊंगी एंगी आएंगी ाएंगी ेगी ोगी एगी आएगी ाएगी ओगी आओगी ाओगी अती आती ाती अनी आँ ाँ इयाँ आइयाँ ाइयाँ ियाँ ु ीं अतीं आतीं ातीं "
+    "आं ुआं उआं ें ईं आईं ाईं ों इयों आइयों ाइयों ियों एं ुएं आएं उएं ाएं अताएं अनाएं ओं ुओं आओं उओं ाओं अताओं अनाओं ां इयां आइयां ाइयां ियां ू अ आ इ े "
+    "ेंगे एंगे आएंगे ाएंगे ोगे ओगे आओगे ाओगे अते आते ाते अने आने ाने ई आई ाई उ ऊ ो ् ए आए इए आइए ाइए ाए िए ओ आओ ाओ अकर आकर ाकर ा ूंगा ऊंगा आऊंगा ाऊंगा "
+    "ेगा एगा आएगा ाएगा अता आता ाता अना आना ाना आया ाया ि".split()
 )
+HI_AFTER_CONSONANT = set("ती नी तीं ताएं नाएं ताओं नाओं ते ने कर ता ना".split())
+HI_CONSONANTS = {*map(chr, range(0x915, 0x93A)), "\u093c", *map(chr, range(0x958, 0x960))}
 
 
 def hindi(word: str) -> str:
-    end = longest(word, HI_ENDINGS, 1)
-    return word[: -len(end)] if end else word
+    """The longest ending goes that may go; the first letter always stays, and isn't looked at."""
+    for n in range(min(len(word) - 1, 6), 0, -1):
+        end, before = word[-n:], word[1:-n]
+        if end in HI_ENDINGS or end in HI_AFTER_CONSONANT and before and before[-1] in HI_CONSONANTS:
+            return word[:-n]
+    return word
 
 
 # Nepali.
@@ -185,7 +182,7 @@ NE_BEFORE_NASAL = ("यौ", "छौ", "नौ", "थे")
 NE_ENDINGS = set(
     "थिए छ इछ एछ िछ ेछ नेछ हुनेछ हुन्छ इन्छ िन्छ छन् इछन् एछन् िछन् ेछन् नेछन् छिन् लान् थिन् पर् छस् इछस् एछस् िछस् ेछस् नेछस् छेस् होस् इस् िस् थिस् "
     "थिइस् छौ इछौ एछौ िछौ ेछौ नेछौ यौ छ्यौ थ्यौ थियौ छु एछु ेछु नेछु नु हरु हरू छे थे ने थी दी दै इदै िदै दा इदा िदा दो इदो िदो एको इएको िएको ेको नेको एका "
-    "इएका िएका ेका नेका इएकी िएकी ेकी एकै ेकै नेकै यो इयो ियो थियो थ्यो दियो भयो देखि देखी माथि".split()
+    "इएका िएका ेका नेका एकी इएकी िएकी ेकी एकै ेकै नेकै यो इयो ियो थियो थ्यो दियो भयो देखि देखी माथि".split()
 )
 
 

@@ -90,8 +90,8 @@ STEMS = {
     "ga": "bhfuil fuil dtithe tithe",
     "id": "bukunya buku membaca baca pertandingan tanding berlari lari",
     "hy": "ընկերներ ընկեր",
-    "hi": "किताबें किताब लड़कियाँ लड़क",
-    "ne": "घरहरूमा घर गरेको गर",
+    "hi": "किताबें किताब लड़कियाँ लड़क जीती जीत बनाइए बन करना कर जाना ज आना आन ना न",
+    "ne": "घरहरूमा घर गरेको गर गएकी ग",
 }
 
 
