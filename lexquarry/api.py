@@ -6,21 +6,22 @@ import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.config import Config
 from lexquarry.errors import IndexIOError, QueryError
-from lexquarry.functions.analysis import py_tokenize
+from lexquarry.functions.analysis import edit_distance
 from lexquarry.functions.languages import has_stemmer, ngram_size, supports
 from lexquarry.functions.stopwords import default_stopwords
 from lexquarry.operators import boolean, explain
 from lexquarry.operators.build import IndexTables, field_text
 from lexquarry.operators.highlight import Highlighter
-from lexquarry.operators.resolve import analyze_phrase, analyze_queries, keyword_table, resolve
-from lexquarry.operators.score import fetch
+from lexquarry.operators.resolve import analyze_phrase, analyze_queries, resolve
+from lexquarry.operators.score import bm25_of, half_up, span_rows
 from lexquarry.operators.score import search as ranked_search
 from lexquarry.operators.snippet import Snippeter
 from lexquarry.plans.session import ship
@@ -32,7 +33,7 @@ _PREPARED = "doc_id bigint, texts array<string>, data string"
 
 @dataclass(frozen=True)
 class SearchResult:
-    """``ids`` in rank order; ``hits`` of all pages together; ``scores`` of the page, None for boolean queries; ``documents`` None without a store."""
+    """``ids`` in rank order; ``hits`` of all pages together; ``scores`` of all hits, best first, None for boolean queries; ``documents`` None without a store."""
 
     ids: list[int]
     hits: int
@@ -191,7 +192,7 @@ class SearchIndex:
 
     # --- writing ---
 
-    def _prepare(self, docs: DataFrame | Iterable[dict]) -> DataFrame:
+    def _prepare(self, docs: DataFrame | list[dict], progress: Callable[[int, int], None] | None = None) -> DataFrame:
         if isinstance(docs, DataFrame):
             if "id" not in docs.columns:
                 raise QueryError("documents need an id")
@@ -209,6 +210,8 @@ class SearchIndex:
                 raise QueryError("documents need an id")
             texts = [t for k, v in d.items() if k not in ("id", "_meta") and (t := _text_of(v))]
             out.append((_id_of(d["id"]), texts, json.dumps(d, ensure_ascii=False)))
+            if progress:
+                progress(len(out), len(docs))
         return self.spark.createDataFrame(out, _PREPARED)
 
     def _known(self, ids: DataFrame) -> DataFrame:
@@ -224,9 +227,14 @@ class SearchIndex:
         self.insert_many([doc])
 
     def insert_many(self, docs: DataFrame | Iterable[dict], progress: Callable[[int, int], None] | None = None) -> None:
-        """Adds documents; fails as a whole if an id is missing, repeated or already there. ``progress(done, total)`` is called at the end."""
+        """Adds documents; fails as a whole if an id is missing, repeated or already there.
+
+        ``progress(done, total)`` is called for each document of a list as it is prepared, for a DataFrame once, when all are written.
+        """
         self._writable()
-        rows = self._prepare(docs)
+        if not isinstance(docs, DataFrame):
+            docs = list(docs)
+        rows = self._prepare(docs, progress)
         bad = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").orderBy("doc_id").limit(10).collect()
         if bad and bad[0]["doc_id"] is None:
             raise QueryError("every document needs an integer id")
@@ -236,8 +244,8 @@ class SearchIndex:
             raise QueryError(f"ids already there: {s}")
         before = self._manifest.total_documents
         self._commit(self._store.write_segment(self._manifest, rows, None))
-        if progress:
-            n = self._manifest.total_documents - before
+        n = self._manifest.total_documents - before
+        if progress and n and isinstance(docs, DataFrame):
             progress(n, n)
 
     def update(self, doc: dict) -> None:
@@ -338,35 +346,91 @@ class SearchIndex:
             wanted = wanted | term.startswith(s)
         return replace(self.tables, lexicon=self.tables.lexicon.where(wanted))
 
-    @staticmethod
-    def _postings_of(tables: IndexTables, terms: list[str]) -> IndexTables:
-        wanted = F.col("term").isin(terms)
-        return replace(tables, postings=tables.postings.where(wanted), positions=tables.positions.where(wanted))
-
     def _starts(self, kws: list[str], as_you_type: bool, fuzzy: bool) -> list[str]:
         last = kws[-1:] if as_you_type and not ngram_size(self.language) else []
         return last + ([kw[: self.config.fuzzy_prefix_length] for kw in kws] if fuzzy else [])
 
+    def _terms_of(self, words: list[tuple[str, bool]], fuzzy: bool = False) -> list[list]:
+        """The terms of each (word, whether it is a beginning), as ``resolve`` finds them, by one job, or by two with fuzzy matches.
+
+        Filters that Parquet can use; what comes to the driver is at most ``fuzzy_max_expansions`` terms for each word.
+        """
+        lex, cap, term = self.tables.lexicon, self.config.fuzzy_max_expansions, F.col("term")
+        whole = sorted({w for w, start in words if not start})
+        starts = sorted({w for w, start in words if start})
+        columns = ["term", "num_hits", "num_docs"]
+
+        def rows(parts: list[tuple[str, DataFrame]]) -> dict[str, list]:
+            found: dict[str, list] = {}
+            tagged = [df.select(F.lit(tag).alias("of"), *columns) for tag, df in parts]
+            for r in reduce(DataFrame.unionByName, tagged).collect() if tagged else []:
+                found.setdefault(r["of"], []).append(r)
+            return found
+
+        parts = [("=", lex.where(term.isin(whole)))] if whole else []
+        for w in starts:
+            parts.append(("<" + w, lex.where(term.startswith(w)).orderBy(F.char_length("term"), F.col("num_hits").desc(), "term").limit(cap)))
+        found = rows(parts)
+        exact = {r["term"]: r for r in found.get("=", [])}
+        by_length = lambda r: (len(r["term"]), -r["num_hits"], r["term"])
+        out = [sorted(found.get("<" + w, []), key=by_length) if start else [exact[w]] if w in exact else [] for w, start in words]
+        unknown = sorted({w for (w, _), own in zip(words, out) if not own}) if fuzzy else []
+        d, size = self.config.fuzzy_distance, F.char_length("term")
+        near = rows(
+            [
+                (w, lex.where(term.startswith(w[: self.config.fuzzy_prefix_length]) & size.between(max(1, len(w) - d), len(w) + d)).orderBy(F.col("num_hits").desc(), "term").limit(cap))
+                for w in unknown
+            ]
+        )
+        for i, (w, _) in enumerate(words):
+            if w in near:
+                close = [(edit_distance(r["term"], w), r) for r in near[w]]
+                out[i] = [r for k, r in sorted(((k, r) for k, r in close if k <= d), key=lambda x: (x[0], -x[1]["num_hits"], x[1]["term"]))]
+        return out
+
+    def _postings_of(self, terms: list[list], close_first: bool = False) -> list[list]:
+        """The ``max_docs`` best postings of each list of terms, best first, by one job; at most that many for each come to the driver."""
+        rows = [(i, r["term"], k) for i, own in enumerate(terms) for k, r in enumerate(own)]
+        out: list[list] = [[] for _ in terms]
+        if rows:
+            wanted = F.broadcast(self.spark.createDataFrame(rows, "of int, term string, rnk int"))  # fuzzy_max_expansions for each word
+            order = [F.col("hit_count").desc(), F.col("rnk"), F.col("doc_id")]
+            best = Window.partitionBy("of").orderBy(*([order[1], order[0], order[2]] if close_first else order))
+            hits = self.tables.postings.where(F.col("term").isin(sorted({r[1] for r in rows}))).join(wanted, "term")
+            for r in sorted(hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.config.max_docs).collect(), key=lambda r: r["r"]):
+                out[r["of"]].append(r)
+        return out
+
     def search(self, phrase: str, fuzzy: bool = False, as_you_type: bool = True, limit: int = 100, offset: int = 0) -> SearchResult:
-        """One phrase. Its terms, at most ``fuzzy_max_expansions`` for each keyword, are resolved first and then filter the postings' files."""
+        """One phrase, by few small jobs: its terms, their best postings and, for several keywords, the positions in the best documents.
+
+        The lists that come to the driver are bounded by the configuration whatever the index's size; ``search_batch`` answers tables of queries.
+        """
         kws = analyze_phrase(phrase, self.tables.analyzer)["filtered"]
-        t = self._lexicon_near(kws, self._starts(kws, as_you_type, fuzzy))
-        keywords = keyword_table(self.spark, [phrase], t.analyzer, as_you_type)
-        resolved = resolve(keywords, t.lexicon, self.config, fuzzy, t.analyzer.language)
-        found = resolved.collect()
-        terms = self.spark.createDataFrame(found, resolved.schema)
-        t = self._postings_of(t, sorted({r["term"] for r in found}))
-        best = fetch(t, terms, self.config, fuzzy)
-        best = self.spark.createDataFrame(best.collect(), best.schema)  # at most max_docs rows for each keyword
-        page = ranked_search(t, terms, self.config, fuzzy, max(limit, 1), offset, len(kws), best).drop("query_id")
-        rows = page.orderBy("rank").collect()
-        hits = rows[0]["hits"] if rows else 0
-        if not rows and offset:
-            first = ranked_search(t, terms, self.config, fuzzy, 1, 0, 1, best).first()
-            hits = first["hits"] if first else 0
-        rows = rows if limit > 0 else []
-        ids = [r["doc_id"] for r in rows]
-        return SearchResult(ids, hits, {r["doc_id"]: r["score"] for r in rows}, self._hydrate(ids), page)
+        prefixed = as_you_type and not ngram_size(self.language)
+        terms = self._terms_of([(kw, prefixed and i == len(kws) - 1) for i, kw in enumerate(kws)], fuzzy)
+        postings = self._postings_of(terms, fuzzy)
+        n = self._manifest.total_documents
+        scores = bm25_of(postings, [sum(r["num_docs"] for r in own) for own in terms], n, self._manifest.total_length / n if n else 0.0, self.config)
+        ranked = sorted(scores, key=lambda d: (-half_up(scores[d]), d))
+        groups = {r["term"]: i for i, own in enumerate(postings) for r in own}
+        if self.config.proximity_boost > 0 and sum(map(bool, postings)) > 1:
+            for d, span in self._spans(groups, sum(map(bool, postings)), ranked[: max((offset + max(limit, 1)) * 5, 200)]).items():
+                scores[d] /= 1 + self.config.proximity_boost * span
+        scores = {d: half_up(x) for d, x in scores.items()}
+        ranked = sorted(scores, key=lambda d: (-scores[d], d))
+        ids = ranked[offset : offset + limit]
+        page = [(d, scores[d], offset + i + 1, len(scores)) for i, d in enumerate(ids)]
+        df = self.spark.createDataFrame(page, "doc_id bigint, score double, rank int, hits bigint")
+        return SearchResult(ids, len(scores), {d: scores[d] for d in ranked}, self._hydrate(ids), df)
+
+    def _spans(self, groups: dict[str, int], needed: int, ids: list[int]) -> dict[int, int]:
+        """The smallest window of all keywords in each of the documents that hold them all."""
+        if len(set(groups.values())) < needed or not ids:
+            return {}
+        rows = self.tables.positions.where(F.col("term").isin(sorted(groups)) & F.col("doc_id").isin(ids))
+        of = F.broadcast(self.spark.createDataFrame(list(groups.items()), "term string, g int"))  # the terms of one phrase
+        return {r["doc_id"]: r["min_span"] for r in span_rows(rows.join(of, "term"), ["doc_id"], sorted(set(groups.values()))).collect()}
 
     def search_batch(self, queries: DataFrame, fuzzy: bool = False, as_you_type: bool = True, limit: int = 100, offset: int = 0) -> DataFrame:
         """``query_id, doc_id, score, rank, hits`` for a table ``query_id, phrase``, in one plan."""
@@ -380,16 +444,22 @@ class SearchIndex:
         self, phrase: str, as_you_type: bool = True, limit: int = 100, offset: int = 0, strict_compat: bool = False
     ) -> SearchResult:
         tree = boolean.parse(phrase, as_you_type, strict_compat)
-        words = [w for leaf in boolean.leaves(tree) for w in self.tables.analyzer.py_stem(py_tokenize(leaf.word, self.language))]
-        tables = self._lexicon_near(words, words if not ngram_size(self.language) else [])
-        page = boolean.search_boolean(tables, phrase, self.config, as_you_type, max(limit, 1), offset, strict_compat)
-        rows = page.orderBy("rank").collect()
-        hits = rows[0]["hits"] if rows else 0
-        if not rows and offset:
-            first = boolean.search_boolean(tables, phrase, self.config, as_you_type, 1, 0, strict_compat).first()
-            hits = first["hits"] if first else 0
-        ids = [r["doc_id"] for r in rows] if limit > 0 else []
-        return SearchResult(ids, hits, None, self._hydrate(ids), page)
+        leaves = boolean.leaves(tree)
+        words = [(i, w) for i, leaf in enumerate(leaves) for w in boolean.leaf_words(leaf, self.tables.analyzer, self.language)]
+        terms = self._terms_of([w for _, w in words])
+        of_leaf = [list({r["term"]: r for (j, _), own in zip(words, terms) if j == i for r in own}.values()) for i in range(len(leaves))]
+        for own in of_leaf:  # of equal hits in one document, the term's spelling decides which posting is cut
+            own.sort(key=lambda r: r["term"])
+        found = {}
+        for leaf, rows in zip(leaves, self._postings_of(of_leaf)):
+            found[leaf] = {}
+            for r in sorted(rows, key=lambda r: r["r"]):
+                found[leaf].setdefault(r["doc_id"], float(r["r"]))
+        places = boolean.places(tree, found)
+        ranked = sorted(places, key=lambda d: (places[d], d))
+        ids = ranked[offset : offset + limit]
+        page = [(d, offset + i + 1, len(ranked)) for i, d in enumerate(ids)]
+        return SearchResult(ids, len(ranked), None, self._hydrate(ids), self.spark.createDataFrame(page, "doc_id bigint, rank int, hits bigint"))
 
     def inspect_query(self, phrase: str, fuzzy: bool = False, as_you_type: bool = True) -> dict:
         kws = analyze_phrase(phrase, self.tables.analyzer)["filtered"]

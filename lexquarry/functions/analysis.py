@@ -81,3 +81,13 @@ def py_offsets(text: str, language: str | None = None, include_unigrams: bool =
     if include_unigrams:
         out = sorted(out + [(c, i) for i, c in enumerate(low)], key=lambda x: x[1])
     return out
+
+
+def edit_distance(a: str, b: str) -> int:
+    """The built-in ``levenshtein`` for two strings on the driver, in code points."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]

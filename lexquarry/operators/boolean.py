@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexquarry.config import Config
 from lexquarry.errors import QueryError
 from lexquarry.functions.analysis import py_tokenize
+from lexquarry.functions.languages import ngram_size
 from lexquarry.operators.build import Analyzer, IndexTables
 from lexquarry.operators.resolve import KEYWORDS, resolve
 
@@ -152,6 +153,24 @@ def evaluate(tree, found: dict[Leaf, set]) -> set:
     return a & b if tree.op == "and" else a | b if tree.op == "or" else a - b
 
 
+def places(tree, found: dict[Leaf, dict[int, float]]) -> dict[int, float]:
+    """``_place`` for the postings of one expression, which are few: document -> place, from each leaf's documents and ranks."""
+    if tree is None:
+        return {}
+    if isinstance(tree, Leaf):
+        return found[tree]
+    a, b = places(tree.left, found), places(tree.right, found)
+    if tree.op == "or":
+        return {d: p + float(_NEXT_LEAF * len(leaves(tree.left))) for d, p in b.items()} | a
+    return {d: p for d, p in a.items() if (d in b) == (tree.op == "and")}
+
+
+def leaf_words(leaf: Leaf, analyzer: Analyzer, language: str | None) -> list[tuple[str, bool]]:
+    """(word, whether it is a beginning) for the tokens of a leaf; any of them makes a document match, only the last is a beginning."""
+    tokens = analyzer.py_stem(py_tokenize(leaf.word, language))
+    return [(t, leaf.prefix and k == len(tokens) - 1 and not ngram_size(language)) for k, t in enumerate(tokens)]
+
+
 _NEXT_LEAF = 1 << 32
 
 

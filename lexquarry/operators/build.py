@@ -44,6 +44,8 @@ class IndexTables:
     doc_lengths: DataFrame
     stats: DataFrame
     analyzer: Analyzer = field(default_factory=Analyzer)
+    #: ``term, doc_id, positions``: the positions as lists, where they are kept so.
+    located: DataFrame | None = None
 
 
 def field_text(df: DataFrame, name: str) -> Column:

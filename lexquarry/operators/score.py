@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
+from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.config import Config
@@ -55,23 +57,61 @@ def bm25(index: IndexTables, fetched: DataFrame, config: Config) -> DataFrame:
     )
 
 
+def half_up(x: float) -> float:
+    """A score as it is ranked."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-DECIMALS), ROUND_HALF_UP))
+
+
+def bm25_of(postings: list[list], df: list[int], n: int, avgdl: float, config: Config) -> dict[int, float]:
+    """``bm25`` for one query whose postings, at most ``max_docs`` for each keyword, are at hand."""
+    k1, b, scores = config.k1, config.b, {}
+    for rows, found in zip(postings, df):
+        idf = log(1 + (n - found + 0.5) / (found + 0.5)) if rows else 0.0
+        for r in rows:
+            tf = r["hit_count"]
+            part = idf * (k1 + 1) * tf / (k1 * (1 - b) + k1 * b / max(1.0, avgdl) * r["length"] + tf)
+            scores[r["doc_id"]] = scores.get(r["doc_id"], 0.0) + part
+    return scores
+
+
+def span_rows(rows: DataFrame, keys: list[str], groups: list[int], needed: Column | None = None) -> DataFrame:
+    """``keys, min_span`` for ``rows`` of ``keys, position, g``: the smallest window that holds a position of every group, or of ``needed`` groups.
+
+    For each position the latest position so far of every group is known from a running maximum; the
+    window ends here and begins at the earliest of these.
+    """
+    so_far = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.max(F.when(F.col("g") == g, F.col("position"))).over(so_far).alias(f"l{i}") for i, g in enumerate(groups)]
+    seen = reduce(lambda x, y: x + y, [F.col(f"l{i}").isNotNull().cast("int") for i in range(len(groups))])
+    first = F.least(*[F.col(f"l{i}") for i in range(len(groups))]) if len(groups) > 1 else F.col("l0")
+    whole = (F.lit(len(groups)) if needed is None else needed).alias("needed")
+    return rows.select(*keys, "position", whole, *last).where(seen == F.col("needed")).groupBy(*keys).agg(F.min(F.col("position") - first).alias("min_span"))
+
+
 def min_spans(index: IndexTables, fetched: DataFrame, docs: DataFrame, n_groups: int) -> DataFrame:
     """``query_id, doc_id, min_span``: the smallest window of positions that holds a term of every keyword that was found.
 
-    For each position the latest position so far of every keyword is known from a running maximum; the
-    window ends here and begins at the earliest of these. A term of two keywords belongs to the last. Queries with one
-    keyword, and documents without one of them, have no row. ``n_groups``: keywords of the longest query.
+    A term of two keywords belongs to the last. Queries with one keyword, and documents without one of them, have no
+    row. ``n_groups``: keywords of the longest query; queries of about as many keywords are worked on together (2, 3-4, 5-8, ...), so short ones don't
+    pay for long ones.
     """
-    groups = fetched.groupBy("query_id", "term").agg(F.max("kw_idx").alias("g"))
-    needed = fetched.select("query_id", "kw_idx").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("needed")).where(F.col("needed") > 1)
-    terms = groups.join(needed, "query_id")
-    rows = index.positions.join(terms, "term").join(docs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    so_far = Window.partitionBy("query_id", "doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.max(F.when(F.col("g") == g, F.col("position"))).over(so_far) for g in range(n_groups)]
-    seen = reduce(lambda x, y: x + y, [F.col(f"l{g}").isNotNull().cast("int") for g in range(n_groups)])
-    spans = rows.select("query_id", "doc_id", "position", "needed", *[c.alias(f"l{g}") for g, c in enumerate(last)])
-    first = F.least(*[F.col(f"l{g}") for g in range(n_groups)]) if n_groups > 1 else F.col("l0")
-    return spans.where(seen == F.col("needed")).groupBy("query_id", "doc_id").agg(F.min(F.col("position") - first).alias("min_span"))
+    found = fetched.select("query_id", "kw_idx").distinct()
+    of_query = Window.partitionBy("query_id")
+    numbered = found.select(
+        "query_id", "kw_idx", (F.row_number().over(of_query.orderBy("kw_idx")) - 1).alias("g"), F.count(F.lit(1)).over(of_query).alias("needed")
+    ).where(F.col("needed") > 1)
+    last_of = fetched.groupBy("query_id", "term").agg(F.max("kw_idx").alias("kw_idx"))
+    wanted = last_of.join(numbered, ["query_id", "kw_idx"]).drop("kw_idx").join(docs.select("query_id", "doc_id"), "query_id")
+    parts, few = [], 1
+    while few < max(2, n_groups):
+        own = wanted.where(F.col("needed").between(few + 1, few * 2))
+        if index.located is None:
+            rows = index.positions.join(own, ["term", "doc_id"])
+        else:  # of a frequent term only the postings of ranked documents are taken apart
+            rows = index.located.join(own, ["term", "doc_id"]).withColumn("position", F.explode(F.col("positions").cast("array<bigint>")))
+        parts.append(span_rows(rows, ["query_id", "doc_id"], list(range(few * 2)), F.col("needed")))
+        few *= 2
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search(

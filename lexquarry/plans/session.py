@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in tests on one machine.
+    Where the session names none, a folder of our own serves on one machine and goes when the process ends; on a cluster,
+    whose machines don't share one, that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexquarry-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+        if not named:
+            named = tempfile.mkdtemp(prefix="lexquarry-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -39,15 +47,18 @@ def bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as the session runs tasks; as it is where it has them already.
+    """``df`` in as many partitions as the session runs tasks, if it reads few files that make fewer; else as it is.
 
-    For work that is heavy per row on input that came in few files. Larger inputs are not moved, nor is
-    what a shuffle has spread already.
+    For work that is heavy per row on input that came in few files. What moves is less than one split of ``spark.sql.files.maxPartitionBytes`` for each task.
     """
-    if re.search(r"\b(Aggregate|Join|Window|Sort|Repartition\w*|Deduplicate)\b", df._jdf.queryExecution().optimizedPlan().toString()):
+    spark, files = df.sparkSession, df.inputFiles()
+    tasks = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < tasks:
         return df
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    held = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(tasks) if held < split * tasks else df
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,8 +66,6 @@ def ship(spark: SparkSession) -> None:
 
     Spark serves the archive from the driver; it holds code only.
     """
-    import atexit
-    import shutil
     import zipfile
     from pathlib import Path
 

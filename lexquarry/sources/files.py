@@ -51,7 +51,3 @@ class Files:
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
-
-    def copy_to(self, name: str, other: "Files") -> None:
-        util = self._jvm.org.apache.hadoop.fs.FileUtil
-        util.copy(self._fs, self._path(name), other._fs, other._path(name), False, True, self._conf)
