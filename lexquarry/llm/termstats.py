@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.operators.skew import HEAVY_SHARE, heavy_keys, heavy_of, salted_lookup
-from lexquarry.plans.session import bounded
+from lexquarry.operators.skew import HEAVY_SHARE, heavy_keys, lookup, salted_lookup
 
 #: A term in at most so many documents is rare; one in more than this share of all documents is common.
 RARE_DOCS = 2
 COMMON_SHARE = 0.2
-#: Ids (8 bytes each) of strings with several ids that are broadcast at most.
-MOST_SHARED = 500_000
+#: Ids of strings with several ids that are broadcast at most, with a digest of their string each.
+MOST_SHARED = 200_000
 
 
 def latest_postings(postings: DataFrame, *keys: str) -> DataFrame:
@@ -47,23 +46,22 @@ def term_statistics(
     n_documents = postings.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().agg(F.count("doc_id")).scalar()
     ids = lexicon.select("id", "term").where(F.col("term").isNotNull() & F.col("id").isNotNull()).distinct()
     terms = ids.groupBy("term").agg(F.count("id").alias("n_ids"))
-    shared = terms.where(F.col("n_ids") > 1).select(F.col("term").alias("shared_term"), F.lit(True).alias("is_shared"))
+    shared = terms.where(F.col("n_ids") > 1).select(F.col("term").alias("shared_term"), F.md5("term").alias("string_id"))
     named = salted_lookup(ids, "term", F.col("id"), shared, "shared_term", heavy_keys(ids, "term", min_share), "left")
-    shared_ids = named.where("is_shared").select("id", "term")
 
     once = latest_postings(posts, "term_id", "doc_id")
     per_id = once.groupBy("term_id").agg(F.sum("hit_count").alias("hits"), F.count(F.lit(1)).alias("docs"))
-    alone = named.where("is_shared is null").join(per_id, F.col("id") == F.col("term_id")).select("term", "hits", "docs")
+    alone = named.where("string_id is null").join(per_id, F.col("id") == F.col("term_id")).select("term", "hits", "docs")
     # Where a count shows the shared ids to be few, their postings are picked out before anything moves.
-    few = bounded(shared_ids.select("id").distinct(), MOST_SHARED)
-    picked = once.join(few, F.col("term_id") == F.col("id"), "left_semi")
-    heavy = heavy_of(per_id, "term_id", "docs", min_share)
+    shared_ids = named.where("string_id is not null").select("id", "string_id")
     several = (
-        salted_lookup(picked, "term_id", F.col("doc_id"), shared_ids, "id", heavy)
-        .groupBy("term", "doc_id")
+        lookup(once, "term_id", F.col("doc_id"), shared_ids, "id", MOST_SHARED, min_share)
+        .groupBy("string_id", "doc_id")
         .agg(F.sum("hit_count").alias("hits"))
-        .groupBy("term")
+        .groupBy("string_id")
         .agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("docs"))
+        .join(shared, "string_id")
+        .select(F.col("shared_term").alias("term"), "hits", "docs")
     )
     counted = alone.unionByName(several)
     num_docs = F.coalesce("docs", F.lit(0)).cast("bigint")
