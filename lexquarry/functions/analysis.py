@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,6 +84,16 @@ def py_offsets(text: str, language: str | None = None, include_unigrams: bool =
     return out
 
 
+def token_offsets(text: Column, language: str | None = None, include_unigrams: bool = False) -> Column:
+    """``py_offsets`` of a text column: ``array<struct<token:string,offset:int>>``; empty for null."""
+
+    @F.pandas_udf("array<struct<token:string,offset:int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [{"token": w, "offset": i} for w, i in py_offsets(t, language, include_unigrams)])
+
+    return cut(text)
+
+
 def edit_distance(a: str, b: str) -> int:
     """The built-in ``levenshtein`` for two strings on the driver, in code points."""
     row = list(range(len(b) + 1))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.config import Config
+from lexquarry.errors import IndexIOError, QueryError
 from lexquarry.functions import languages as lang
-from lexquarry.functions.analysis import ngrams, tokenize
+from lexquarry.functions.analysis import ngrams, token_offsets, tokenize
 from lexquarry.functions.stopwords import remove_stopwords
 from lexquarry.operators.boolean import search_boolean
 from lexquarry.operators.build import Analyzer, IndexTables, build_index, document_tokens, token_rows
@@ -19,7 +20,7 @@ from lexquarry.operators.highlight import Highlighter
 from lexquarry.operators.resolve import analyze_queries, keyword_table, resolve
 from lexquarry.operators.score import bm25, fetch, min_spans, search
 from lexquarry.operators.snippet import Snippeter, beginning_column
-from lexquarry.plans.session import ensure_checkpoint_dir, table
+from lexquarry.plans.session import cut, ensure_checkpoint_dir, table
 
 #: Stopwords of the queries that have a fixed list on both sides.
 STOPWORDS = ("the", "of", "a", "and", "de", "la", "der", "die", "le", "les", "el", "il", "het", "een", "o", "in")
@@ -50,6 +51,35 @@ def ngram_tokens(spark, d):
     return _rows(table(spark, d, "documents"), tokenize(F.col("text"), "ja"))
 
 
+def ngram_tokens_zh(spark, d):
+    return _rows(table(spark, d, "documents"), tokenize(F.col("text"), "zh"))
+
+
+def ngram_tokens_ko(spark, d):
+    return _rows(table(spark, d, "documents"), tokenize(F.col("text"), "ko"))
+
+
+def ngram_tokens_th(spark, d):
+    """Trigrams without single characters."""
+    return _rows(table(spark, d, "documents"), tokenize(F.col("text"), "th"))
+
+
+def _with_offsets(df: DataFrame, column) -> DataFrame:
+    return df.select("doc_id", F.posexplode(column).alias("position", "t")).select("doc_id", "position", "t.token", "t.offset")
+
+
+def tokens_with_offsets(spark, d):
+    return _with_offsets(table(spark, d, "documents"), token_offsets(F.col("text")))
+
+
+def ngrams_with_offsets(spark, d):
+    return _with_offsets(table(spark, d, "documents"), token_offsets(F.col("title"), "ja"))
+
+
+def ngrams_and_characters_with_offsets(spark, d):
+    return _with_offsets(table(spark, d, "documents"), token_offsets(F.col("title"), "ja", True))
+
+
 def title_bigrams(spark, d):
     return _rows(table(spark, d, "documents"), ngrams(F.lower("title"), 2))
 
@@ -179,8 +209,9 @@ def part_search(spark, d):
     named = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("query_id"), F.col("p_name").alias("phrase"))
     names = named.groupBy("phrase").agg(F.min("query_id").alias("first"))
     terms = resolve(analyze_queries(names.select(F.col("first").alias("query_id"), "phrase"), as_you_type=False), parts.lexicon)
-    config = Config(proximity_boost=0.0)
-    page = search(parts, terms, config, False, 3, 0, 1, fetch(parts, terms, config, False, no_limit=True))
+    fetched = cut(fetch(parts, terms, Config(), False, no_limit=True))
+    longest = fetched.agg(F.max("kw_idx")).first()[0] or 0
+    page = search(parts, terms, Config(), False, 3, 0, longest + 1, fetched)
     asked = named.join(names, "phrase").join(page.withColumnRenamed("query_id", "first"), "first")
     return asked.select("query_id", "doc_id", "score", "rank", "hits")
 
@@ -230,6 +261,11 @@ def snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", Snippeter(120, 2).column("cold engine", F.col("text")).alias("snippet"))
 
 
+def snippet_one(spark, d):
+    """One excerpt of each text, by a whole word's hits."""
+    return table(spark, d, "documents").select("doc_id", Snippeter(120).column("cold engine", F.col("text")).alias("snippet"))
+
+
 def stems(spark, d):
     """The English stem of every distinct term."""
     from lexquarry.functions.stemmers import stem_column
@@ -265,6 +301,99 @@ def _fields(spark, d, *columns: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), *columns)
 
 
+def _refuses(act) -> int:
+    try:
+        act()
+    except (IndexIOError, QueryError):
+        return 1
+    return 0
+
+
+def lifecycle(spark, d):
+    """What an index says after each step of its life: created, opened, written, read only, rebuilt, copied, cleared, overwritten."""
+    from lexquarry.api import SearchIndex
+
+    home = f"{ensure_checkpoint_dir(spark)}/life-{uuid.uuid4().hex}"
+    path, docs, seen = f"{home}/index", _fields(spark, d, "title", "source"), []
+    say = lambda step, value: seen.append((step, int(value)))
+    say("exists before", SearchIndex.exists(spark, path))
+    say("modified before", SearchIndex.last_modified(spark, path))
+    say("read only without an index", _refuses(lambda: SearchIndex(spark, path, readonly=True)))
+    index = SearchIndex(spark, path, language="ja", store=True, stopwords=())
+    say("exists after", SearchIndex.exists(spark, path))
+    say("modified after", SearchIndex.last_modified(spark, path) > 1_000_000_000)
+    index.insert_many(docs)
+    say("count", index.count())
+    index.insert({"id": -1, "title": "one more engine"})
+    say("count after insert", index.count())
+    say("same id again", _refuses(lambda: index.insert_many([{"id": -2, "title": "x"}, {"id": -1, "title": "y"}])))
+    say("without an id", _refuses(lambda: index.insert({"title": "x"})))
+    say("update of none", _refuses(lambda: index.update({"id": -3, "title": "x"})))
+    say("count after failures", index.count())
+    say("version after failures", SearchIndex(spark, path).count())
+    index.close()
+    again = SearchIndex(spark, path, readonly=True)
+    say("language kept", again.language == "ja")
+    say("store kept", again.document_store_enabled)
+    say("write when read only", _refuses(lambda: again.insert({"id": -4, "title": "x"})))
+    say("stored title", again.get(-1)["title"] == "one more engine")
+    index.snapshot_to(f"{home}/copy")
+    index.delete_many([-1])
+    say("count after delete", index.count())
+    say("copy", SearchIndex(spark, f"{home}/copy", readonly=True).count())
+    say("copy's lexicon", SearchIndex(spark, f"{home}/copy", readonly=True).tables.lexicon.agg(F.sum("num_hits")).first()[0])
+    rebuilt = SearchIndex.rebuild(spark, path, lambda i: i.insert_many(docs.where("source = 'reelnotes'")))
+    say("rebuilt", rebuilt.count())
+    say("language after rebuild", rebuilt.language == "ja")
+
+    def fail(i):
+        i.insert({"id": -5, "title": "x"})
+        raise QueryError("on purpose")
+
+    say("rebuild that fails", _refuses(lambda: SearchIndex.rebuild(spark, path, fail)))
+    say("kept after it", SearchIndex(spark, path).count())
+    rebuilt = SearchIndex(spark, path)
+    rebuilt.clear()
+    say("cleared", rebuilt.count())
+    say("terms of nothing", rebuilt.tables.lexicon.count())
+    say("language after clear", rebuilt.language == "ja")
+    say("overwritten", SearchIndex(spark, f"{home}/copy", force=True).count())
+    docs.limit(1).write.parquet(f"{home}/other")
+    say("no index to overwrite", _refuses(lambda: SearchIndex(spark, f"{home}/other", force=True)))
+    return spark.createDataFrame(seen, "step string, value bigint")
+
+
+def single_searches(spark, d):
+    """Phrases one by one: every hit with its score, and how many there are."""
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "body"))
+    rows = []
+    for q, phrase in BATCH:
+        found = index.search(phrase, as_you_type=False, limit=5)
+        rows += [(q, doc, score, found.hits, doc in found.ids) for doc, score in found.scores.items()]
+    return spark.createDataFrame(rows, "query_id bigint, doc_id bigint, score double, hits bigint, shown boolean")
+
+
+def single_boolean(spark, d):
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "body"))
+    rows = []
+    for q, (expression, as_you_type, limit, offset) in enumerate(BOOLEANS.values()):
+        found = index.search_boolean(expression, as_you_type, limit, offset)
+        rows += [(q, doc, offset + i + 1, found.hits) for i, doc in enumerate(found.ids)]
+    return spark.createDataFrame(rows, "query_id int, doc_id bigint, rank int, hits bigint")
+
+
+def inspect_nested(spark, d):
+    """The nested record of a query, token by token."""
+    index = _stored(spark)
+    index.insert_many(_fields(spark, d, "title", "body"))
+    said = index.inspect_query("cold enginne rac", True)
+    rows = [(t["raw"], t["processed"], t["is_last"], t["match_type"], t["num_hits"], t["num_docs"], len(t["wordlist_rows"])) for t in said["tokens"]]
+    rows.append((" ".join(said["boolean_postfix"]), " ".join(said["raw_tokens"]), said["stemmer_active"], "query", said["index_info"]["total_documents"], 0, 0))
+    return spark.createDataFrame(rows, "raw string, processed string, is_last boolean, match_type string, num_hits bigint, num_docs bigint, n_terms int")
+
+
 def insert_many(spark, d):
     index = _stored(spark)
     index.insert_many(_fields(spark, d, "title", "body"))
@@ -332,10 +461,11 @@ def metadata_kept(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokens, ngram_tokens, title_bigrams, title_trigrams, stopword_filter, query_analysis, postings, lexicon, doc_lengths, corpus_stats,
+        tokens, ngram_tokens, ngram_tokens_zh, ngram_tokens_ko, ngram_tokens_th, tokens_with_offsets, ngrams_with_offsets,
+        ngrams_and_characters_with_offsets, title_bigrams, title_trigrams, stopword_filter, query_analysis, postings, lexicon, doc_lengths, corpus_stats,
         positions, multi_field_positions, exact_terms, prefix_terms, fuzzy_terms, levenshtein_terms, bm25_exact, bm25_multi, bm25_prefix,
         bm25_fuzzy, bm25_maxdocs, bm25_page, bm25_tuned, bm25_proximity, bm25_batch, part_search, proximity_spans, inspect_query, highlight,
-        snippet_beginning, snippet, stems, bm25_stemmed, language_table, stemmed_positions, insert_many,
+        snippet_beginning, snippet, snippet_one, lifecycle, single_searches, single_boolean, inspect_nested, stems, bm25_stemmed, language_table, stemmed_positions, insert_many,
         upsert_many, update_many, delete_many, has_many, get_many, hydrated_search, metadata_kept,
     )
 } | {name: partial(_boolean, *args) for name, args in BOOLEANS.items()}
@@ -468,7 +598,116 @@ _OR = f"select doc_id, coalesce(a.p, b.p + 4294967296) place from {_leaf('engine
 
 _SHOWN = "query_id, kw_idx, kw, is_last, term, num_hits, num_docs, distance, rnk"
 
+_BOOLEAN_SQL = {
+    "bool_and": _bool_page(f"select doc_id, a.p place from {_leaf('cold')} a join {_leaf('engine')} b using (doc_id)", 100, 0),
+    "bool_or": _bool_page(_OR, 1000, 0),
+    "bool_not": _bool_page(f"select a.doc_id, a.p place from {_leaf('engine')} a left join {_leaf('race', True)} b using (doc_id) where b.p is null", 1000, 0),
+    "bool_group": _bool_page(
+        f"""select o.doc_id, o.place from ({_OR}) o join {_leaf('letter')} l on l.doc_id = o.doc_id
+            left join {_leaf('promise', True)} n on n.doc_id = o.doc_id where n.p is null""",
+        1000,
+        0,
+    ),
+    "bool_prefix": _bool_page(f"select doc_id, a.p place from {_leaf('cold')} a join {_leaf('eng', True)} b using (doc_id)", 1000, 0),
+    "bool_page": _bool_page(_OR, 10, 15),
+}
+
+_NGRAM = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0E00}-\x{0E7F}]"
+
+
+def _cut_tokens(n: int, single: bool) -> str:
+    """Tokens with such characters in n-grams, then perhaps in characters."""
+    one = "union all select doc_id, p, 1, i, substr(term, i + 1, 1) from (select *, cast(unnest(range(length(term))) as integer) i from parts where g)" if single else ""
+    return f"""
+with {_tok()},
+parts as (select doc_id, p, term, regexp_matches(term, '{_NGRAM}') g from tok),
+cut as (select doc_id, p, 0 k, 0 i, term from parts where not g
+        union all select doc_id, p, 0, i, substr(term, i + 1, {n}) from (select *, cast(unnest(range(greatest(0, length(term) - {n - 1}))) as integer) i from parts where g)
+        {one})
+select doc_id, cast(row_number() over (partition by doc_id order by p, k, i) - 1 as integer) position, term from cut"""
+
+
+#: Each token of documents.text with its place and the characters before it.
+_PLACED = f"""
+low as (select doc_id, text, lower(text) x from documents where text is not null),
+cutup as (select doc_id, regexp_split_to_array(x, '{_RE}') seps, regexp_extract_all(x, '{_RE}') toks from low),
+each as (select doc_id, unnest(toks) token, unnest(seps[1:len(toks)]) sep, unnest(range(len(toks))) i from cutup),
+placed as (select doc_id, i, token, sum(length(sep) + length(token)) over (partition by doc_id order by i) - length(token) start from each)"""
+
+
+def _title_grams(single: bool) -> str:
+    one = "union all select doc_id, i, 1, substr(x, i + 1, 1) from (select *, cast(unnest(range(length(x))) as integer) i from t)" if single else ""
+    return f"""
+with t as (select doc_id, lower(title) x from documents where title is not null),
+g as (select doc_id, i, 0 k, substr(x, i + 1, 2) token from (select *, cast(unnest(range(greatest(0, length(x) - 1))) as integer) i from t) {one})
+select doc_id, cast(row_number() over (partition by doc_id order by i, k) - 1 as integer) "position", token, i "offset" from g"""
+
+
+def _steps() -> str:
+    n, one, of = "(select count(*) from documents)", "(select count(*) + 1 from documents)", "(select count(*) from documents where source = 'reelnotes')"
+    hits = f"(select count(*) + 3 from ({_cut_tokens(2, True).replace('documents', 'fields')}))"
+    said = {
+        "exists before": 0, "modified before": 0, "read only without an index": 1, "exists after": 1, "modified after": 1, "count": n, "count after insert": one,
+        "same id again": 1, "without an id": 1, "update of none": 1, "count after failures": one, "version after failures": one, "language kept": 1,
+        "store kept": 1, "write when read only": 1, "stored title": 1, "count after delete": n, "copy": one, "copy's lexicon": hits, "rebuilt": of,
+        "language after rebuild": 1, "rebuild that fails": 1, "kept after it": of, "cleared": 0, "terms of nothing": 0, "language after clear": 1, "overwritten": 0,
+        "no index to overwrite": 1,
+    }
+    rows = " union all ".join("select '" + k.replace("'", "''") + f"' step, cast({v} as bigint) \"value\"" for k, v in said.items())
+    return f"with fields as (select doc_id, coalesce(title, '') || ' ' || coalesce(source, '') text from documents) {rows}"
+
+
 SQL = {
+    "ngram_tokens_zh": _cut_tokens(2, True),
+    "ngram_tokens_ko": _cut_tokens(2, True),
+    "ngram_tokens_th": _cut_tokens(3, False),
+    "tokens_with_offsets": f"""with {_PLACED} select doc_id, cast(i as integer) "position", token, cast(start as integer) "offset" from placed""",
+    "ngrams_with_offsets": _title_grams(False),
+    "ngrams_and_characters_with_offsets": _title_grams(True),
+    "highlight": r"""
+with t as (select doc_id, text, regexp_split_to_array(text, '[\p{L}\p{N}\p{Pc}]+') s, regexp_extract_all(text, '[\p{L}\p{N}\p{Pc}]+') w from documents)
+select doc_id, case when text is null then null else array_to_string(list_transform(range(len(s)), lambda i: s[i + 1] || coalesce(
+  case when lower(w[i + 1]) = 'cold' or starts_with(lower(w[i + 1]), 'eng') then '<mark>' || w[i + 1] || '</mark>' else w[i + 1] end, '')), '') end marked from t""",
+    "snippet_one": rf"""
+with {_PLACED},
+n as (select doc_id, count(*) n, avg(length(token)) mean from placed group by 1),
+w as (select doc_id, least(greatest(3, floor(120 / (mean + 1) + 0.5)), n) width from n),
+c as (select *, sum(case when token in ('cold', 'engine') then 1 else 0 end) over (partition by doc_id order by i) c from placed),
+best as (
+  select a.doc_id, a.start, e.start + length(e.token) stop from c a join w using (doc_id) join c e on e.doc_id = a.doc_id and e.i = a.i + width - 1
+  left join c b on b.doc_id = a.doc_id and b.i = a.i - 1 where e.c - coalesce(b.c, 0) > 0
+  qualify row_number() over (partition by a.doc_id order by e.c - coalesce(b.c, 0) desc, a.i) = 1),
+wide as (
+  select doc_id, text, start - length(regexp_extract(substr(text, 1, cast(start as bigint)), '[^ \t\n\r]*$')) a,
+         stop + length(regexp_extract(substr(text, cast(stop as bigint) + 1), '^[^ \t\n\r]*')) z from best join documents using (doc_id)),
+piece as (select *, substr(text, cast(a as bigint) + 1, cast(z - a as bigint)) piece from wide),
+head as (select *, substr(piece, 1, 120) head, 120 - instr(reverse(substr(piece, 1, 120)), ' ') space, instr(substr(piece, 1, 120), ' ') > 0 has from piece),
+shown as (
+  select doc_id, case when a > 0 then '… ' else '' end
+    || regexp_replace(case when length(piece) <= 120 then piece when has and space > 60 then substr(head, 1, space) else head end, '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g')
+    || case when z < length(text) or length(piece) > 120 then ' …' else '' end snippet from head),
+h as (select doc_id, text, substr(text, 1, 120) head from documents),
+b as (select *, 120 - instr(reverse(head), ' ') space, instr(head, ' ') > 0 has from h),
+beginning as (select doc_id, case when length(text) <= 120 then text
+  else regexp_replace(case when has and space > 60 then substr(head, 1, space) else head end, '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g') || ' …' end snippet from b)
+select doc_id, coalesce(s.snippet, g.snippet) snippet from beginning g left join shown s using (doc_id)""",
+    "lifecycle": _steps(),
+    "single_searches": f"""
+with u as (select doc_id k, {_BOTH} x from documents), {_built("u", "k", "x")}, {_keywords(PHRASES, False)}, {_expanded(False)} {_scored(False)}
+{_spans(3, 200)} {_page(10**9, 0, 1.0).replace("select * from pg", ", top as (select * from pg")})
+select query_id, doc_id, score, hits, rank <= 5 shown from top""",
+    "single_boolean": f"with fields as (select doc_id, {_BOTH} text from documents) select * from ("
+    + " union all ".join(f"select {q} query_id, * from ({_BOOLEAN_SQL[k].replace('documents', 'fields')})" for q, k in enumerate(BOOLEANS))
+    + ")",
+    "inspect_nested": f"""
+with u as (select doc_id k, {_BOTH} x from documents), {_built("u", "k", "x")}, {_keywords(['cold enginne rac'], True)}, {_expanded(True)},
+m as (select k.kw_idx, k.kw, k.is_last, e.term, num_hits, num_docs,
+         case when e.term is null then 'none' when distance is not null then 'fuzzy'
+              when k.is_last and first_value(e.term) over (partition by k.kw_idx order by rnk) <> k.kw then 'prefix' else 'exact' end match_type
+      from kws k left join exp e on e.kw_idx = k.kw_idx)
+select kw raw, kw processed, is_last, match_type, cast(coalesce(sum(num_hits), 0) as bigint) num_hits, cast(coalesce(sum(num_docs), 0) as bigint) num_docs,
+       cast(count(term) as integer) n_terms from m group by kw_idx, 1, 2, 3, 4
+union all select 'cold enginne & rac & |', 'cold enginne rac', false, 'query', (select count(*) from documents), 0, 0""",
     "tokens": f"with {_tok()} select doc_id, p position, term from tok",
     "ngram_tokens": rf"""
 with {_tok()},
@@ -495,7 +734,7 @@ select doc_id query_id, cast(row_number() over (partition by doc_id order by p)
     "exact_terms": f"with {_built()}, {_keywords(['engine race letter nosuchword'], False)}, {_expanded(False)} select {_SHOWN} from exp",
     "prefix_terms": f"with {_built()}, {_keywords(['eng', 'the ra', 'sto'], True)}, {_expanded(False)} select {_SHOWN} from exp",
     "fuzzy_terms": f"with {_built()}, {_keywords(['enginne', 'mecanic racce', 'dirrector'], True)}, {_expanded(True)} select {_SHOWN} from exp",
-    "levenshtein_terms": f"with {_built()} select term, cast(levenshtein(term, 'engine') as integer) distance from lex where strlen(term) = length(term)",
+    "levenshtein_terms": f"with {_built()} select term, cast(levenshtein(regexp_replace(term, '[^\\x00-\\x7F]', '?', 'g'), 'engine') as integer) distance from lex",
     "bm25_exact": _bm25(["engine"]),
     "bm25_multi": _bm25(["young director mechanic"]),
     "bm25_prefix": _bm25(["cold eng"], as_you_type=True),
@@ -508,19 +747,8 @@ select doc_id query_id, cast(row_number() over (partition by doc_id order by p)
     "part_search": f"""with {_built("part", "p_partkey", "p_name || ' ' || p_type")},
 ql as (select p_partkey query_id, regexp_extract_all(lower(p_name), '{_RE}') l from part),
 kws as (select query_id, cast(unnest(range(len(l))) as integer) kw_idx, unnest(l) kw, false is_last from ql),
-{_expanded(False)} {_scored(False, 50)} {_page(3, 0, 0)}""",
+{_expanded(False)} {_scored(False, 10**12)} {_spans(2, 200)} {_page(3, 0, 1.0)}""",
     "proximity_spans": f"with {_built()}, {_keywords(['cold engine'], False)}, {_expanded(False)} {_scored(False)} {_spans(2, 1_000_000)} select * from span",
-    "bool_and": _bool_page(f"select doc_id, a.p place from {_leaf('cold')} a join {_leaf('engine')} b using (doc_id)", 100, 0),
-    "bool_or": _bool_page(_OR, 1000, 0),
-    "bool_not": _bool_page(f"select a.doc_id, a.p place from {_leaf('engine')} a left join {_leaf('race', True)} b using (doc_id) where b.p is null", 1000, 0),
-    "bool_group": _bool_page(
-        f"""select o.doc_id, o.place from ({_OR}) o join {_leaf('letter')} l on l.doc_id = o.doc_id
-            left join {_leaf('promise', True)} n on n.doc_id = o.doc_id where n.p is null""",
-        1000,
-        0,
-    ),
-    "bool_prefix": _bool_page(f"select doc_id, a.p place from {_leaf('cold')} a join {_leaf('eng', True)} b using (doc_id)", 1000, 0),
-    "bool_page": _bool_page(_OR, 10, 15),
     "inspect_query": f"""with {_built()}, {_keywords(['cold enginne rac'], True)}, {_expanded(True)}
 select k.kw_idx tok_idx, k.kw raw, k.kw processed, k.is_last,
        case when e.term is null then 'none' when distance is not null then 'fuzzy'
@@ -549,4 +777,4 @@ with u as (select doc_id k, {_BOTH} x from documents), {_built("u", "k", "x")},
 {_spans(3, 200)} {_page(5, 0, 1.0).replace("select * from pg", ", top as (select * from pg")})
 select query_id, doc_id, rank, hits, title from top join documents using (doc_id)""",
     "metadata_kept": f"with {_built(text='title')} select doc_id, length, source from len join documents using (doc_id)",
-}
+} | _BOOLEAN_SQL
