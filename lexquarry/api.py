@@ -166,6 +166,11 @@ class SearchIndex:
         self._writable()
         self._commit(self._store.compact(self._manifest))
 
+    @property
+    def segments(self) -> int:
+        """Segments of the current version; each write adds one, ``optimize`` merges them."""
+        return len(self._manifest.segments)
+
     @property
     def language(self) -> str | None:
         return self._manifest.language

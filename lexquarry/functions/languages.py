@@ -34,9 +34,9 @@ def has_stemmer(language: str | None) -> bool:
 
 
 def has_stopwords(language: str | None) -> bool:
-    from lexquarry.functions.stopwords import DEFAULT_LISTS
+    from lexquarry.functions.stopwords import DEFAULT_LISTS, LISTS
 
-    return language in DEFAULT_LISTS
+    return language in LISTS or language in DEFAULT_LISTS
 
 
 def table_rows() -> list[tuple[str, str, bool, bool, int]]:

@@ -1,4 +1,4 @@
-"""Stopwords: Spark's public lists, a file or list of the user's, or the corpus's own most frequent terms."""
+"""Stopwords: lists of this package and Spark's public ones, a file or list of the user's, or the corpus's own most frequent terms."""
 
 from __future__ import annotations
 
@@ -7,15 +7,19 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tags of Spark's default lists.
+from lexquarry.functions.stopword_lists import LISTS
+
+# Tags of Spark's default lists, for languages without one here.
 DEFAULT_LISTS = {
-    "da": "danish", "nl": "dutch", "en": "english", "fi": "finnish", "fr": "french", "de": "german", "hu": "hungarian",
+    "nl": "dutch", "en": "english", "fi": "finnish", "fr": "french", "de": "german", "hu": "hungarian",
     "it": "italian", "no": "norwegian", "pt": "portuguese", "ru": "russian", "es": "spanish", "sv": "swedish", "tr": "turkish",
 }
 
 
 def default_stopwords(language: str) -> list[str]:
-    """Spark's list for the language, lower-case; empty where Spark has none."""
+    """This package's list for the language, else Spark's, lower-case; empty where there is none."""
+    if language in LISTS:
+        return sorted(set(LISTS[language].split()))
     from pyspark.ml.feature import StopWordsRemover
 
     name = DEFAULT_LISTS.get(language)

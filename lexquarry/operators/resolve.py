@@ -2,7 +2,7 @@
 
 Keywords travel as a table ``query_id, kw_idx, kw, is_last``, so one plan answers any number of
 queries. Prefix and fuzzy matching are hash joins: on the term's own prefixes of the lengths that
-occur among the keywords, and on the first characters that a fuzzy match must share.
+occur among the keywords, and on the first characters that a fuzzy match must share together with its length.
 """
 
 from __future__ import annotations
@@ -96,29 +96,32 @@ def resolve(
         return found
     unknown = kws.join(found.select("query_id", "kw_idx").distinct(), ["query_id", "kw_idx"], "left_anti")
     d = config.fuzzy_distance
-    most_used = by_kw.orderBy(F.col("num_hits").desc(), "term")
-    near = by_kw.orderBy("distance", F.col("num_hits").desc(), "term")
-    head = F.substring("kw", 1, config.fuzzy_prefix_length)
-    size = F.char_length("term")
-    # A keyword shorter than the shared start is itself the start that terms must have.
-    heads = unknown.withColumn("head", head).withColumn("head_len", F.char_length("head"))
-    head_lengths = heads.agg(F.sort_array(F.collect_set("head_len")).alias("lengths"))
-    starts = (
-        lex.join(F.broadcast(head_lengths))  # one row
+    most_used = Window.partitionBy("kw").orderBy(F.col("num_hits").desc(), "term")
+    near = Window.partitionBy("kw").orderBy("distance", F.col("num_hits").desc(), "term")
+    # Each keyword once, with the start that terms must share and every length they may have: the join's key. A keyword shorter than
+    # the shared start is itself the start.
+    words = unknown.select("kw", "kw_len").distinct().withColumn("head", F.substring("kw", 1, config.fuzzy_prefix_length)).withColumn(
+        "size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("kw_len") - d), F.col("kw_len") + d))
+    )
+    head_lengths = words.agg(F.sort_array(F.collect_set(F.char_length("head"))).alias("lengths"))
+    heads = (
+        lex.join(F.broadcast(head_lengths))  # one row, of as many lengths as a shared start may have
+        .withColumn("size", F.char_length("term"))
         .withColumn("n", F.explode("lengths"))
-        .where(size >= F.col("n"))
-        .withColumn("start", F.expr("substring(term, 1, n)"))
-        .drop("n", "lengths")
+        # A start shorter than usual is a whole keyword, so its terms are short too.
+        .where((F.col("size") >= F.col("n")) & ((F.col("n") == config.fuzzy_prefix_length) | (F.col("size") <= F.col("n") + d)))
+        .select("term", "num_hits", "num_docs", "size", F.expr("substring(term, 1, n)").alias("head"))
     )
-    fuzzed = (
-        heads.join(starts, F.col("head") == F.col("start"))
-        .where(size.between(F.greatest(F.lit(1), F.col("kw_len") - d), F.col("kw_len") + d))
+    close = (
+        words.join(heads, ["head", "size"])
         .withColumn("r", F.row_number().over(most_used))
         .where(F.col("r") <= cap)
         .withColumn("distance", F.levenshtein("term", "kw"))
         .where(F.col("distance") <= d)
         .withColumn("rnk", F.row_number().over(near))
-        .select(*KEY_COLUMNS, "term", "num_hits", "num_docs", "distance", "rnk")
+    )
+    fuzzed = unknown.join(close.select("kw", "term", "num_hits", "num_docs", "distance", "rnk"), "kw").select(
+        *KEY_COLUMNS, "term", "num_hits", "num_docs", "distance", "rnk"
     )
     return found.unionByName(fuzzed)
 

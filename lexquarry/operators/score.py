@@ -39,7 +39,8 @@ def fetch(index: IndexTables, terms: DataFrame, config: Config, fuzzy: bool, no_
     order = [F.col("hit_count").desc(), F.col("rnk"), F.col("doc_id")]
     if fuzzy:
         order = [order[1], order[0], order[2]]
-    hits = best.join(wanted, "term")
+    # A query has at most max_docs rows of each of its terms, so it fits a task; by query alone, no later step moves its rows again.
+    hits = best.join(wanted, "term").repartition("query_id")
     return hits.withColumn("r", F.row_number().over(by_kw.orderBy(*order))).where(F.col("r") <= config.max_docs).drop("r", "rnk")
 
 

@@ -113,7 +113,10 @@ class Store:
     def tables(self, manifest: Manifest) -> IndexTables:
         postings = self._alive(manifest, self._read(manifest, "postings", _POSTINGS))
         changes = self._read(manifest, "lexicon", "term string, num_hits bigint, num_docs bigint")
-        lexicon = changes.groupBy("term").agg(F.sum("num_hits").alias("num_hits"), F.sum("num_docs").alias("num_docs")).where("num_docs > 0")
+        if len(manifest.segments) == 1:  # has each term once
+            lexicon = changes.drop("seg")
+        else:
+            lexicon = changes.groupBy("term").agg(F.sum("num_hits").alias("num_hits"), F.sum("num_docs").alias("num_docs")).where("num_docs > 0")
         n = manifest.total_documents
         stats = self.spark.createDataFrame([(n, manifest.total_length / n if n else 0.0)], "total_documents bigint, avg_doc_length double")
         return IndexTables(

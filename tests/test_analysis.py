@@ -58,6 +58,9 @@ def test_stopwords(spark):
     assert df.select(remove_stopwords(F.col("t"), ["the", "10"])).first()[0] == ["a", "fox"]
     assert df.select(remove_stopwords(F.col("t"), [])).first()[0] == ["the", "a", "fox", "the", "10"]
     assert "the" in default_stopwords("en") and default_stopwords("zh") == []
+    for language, word in {"ja": "これ", "he": "אבל", "uk": "чи", "hr": "ali", "ga": "agus", "da": "ikke", "th": "ที่", "zu": "futhi"}.items():
+        assert word in default_stopwords(language) and L.has_stopwords(language)
+    assert sum(map(L.has_stopwords, L.NAMES)) == 37
     lex = spark.createDataFrame([("a", 9, 9), ("b", 2, 2)], "term string, num_hits bigint, num_docs bigint")
     assert frequent_terms(lex, 10) == ["a"]
 

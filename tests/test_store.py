@@ -131,5 +131,41 @@ def test_stream(spark, tmp_path):
     upsert_stream(index, stream, str(tmp_path / "cp")).awaitTermination()
     assert index.count() == 2
     spark.createDataFrame([(2, "zwei"), (3, "drei")], "id bigint, title string").write.json(str(tmp_path / "in/b"))
-    upsert_stream(index, stream, str(tmp_path / "cp")).awaitTermination()
+    upsert_stream(index, stream, str(tmp_path / "cp"), most_segments=1).awaitTermination()
+    assert index.segments == 1
     assert index.count() == 3 and index.search("zwei").ids == [2] and index.search("two").ids == []
+
+
+def test_progress(spark, tmp_path):
+    """Each document of a list, a DataFrame as a whole, nothing of nothing."""
+    index, calls = SearchIndex(spark, str(tmp_path / "index")), []
+    say = lambda done, total: calls.append((done, total))
+    index.insert_many([{"id": i, "title": "x"} for i in (1, 2, 3)], say)
+    assert calls == [(1, 3), (2, 3), (3, 3)]
+    index.insert_many([], say)
+    index.insert_many(spark.createDataFrame([(4, "x"), (5, "y")], "id bigint, title string"), say)
+    assert calls[3:] == [(2, 2)]
+
+
+def test_scores_of_all_hits(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    index.insert_many([{"id": i, "title": "sedan " * i} for i in range(1, 6)])
+    none, page = index.search("sedan", limit=0), index.search("sedan", limit=2, offset=1)
+    assert none.ids == [] and none.hits == 5 and len(none.scores) == 5
+    assert len(page.scores) == 5 and page.ids == list(page.scores)[1:3] and page.df.count() == 2
+    assert index.search_boolean("sedan -nothing", limit=0).hits == 5
+
+
+def test_a_cluster_must_name_a_shared_folder(monkeypatch):
+    from lexquarry.plans.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        ensure_checkpoint_dir(Session())
