@@ -181,17 +181,17 @@ def fit_on(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> Model:
 def fit_with_documents(samples: DataFrame, documents: DataFrame, max_samples: int = MAX_SAMPLES, max_documents: int = MAX_DOCUMENTS) -> Model:
     """The model of the samples, fitted again with sentences of at most ``max_documents`` labelled documents.
 
-    Of ``documents`` (with ``label`` from ``labelled``), those whose hashed doc_id lies below the share that gives about
+    Of ``documents`` (with ``label`` from ``labelled``), those whose hashed doc_id lies below the share that gives nine tenths of
     ``max_documents`` take part, if they have at most ``MAX_BODY`` characters. A document teaches only if its label agrees with the first model about
     nearly all of its letters; then all its sentences do, also those that the first model takes for another language.
     """
     first = fit_on(samples, max_samples)
-    share = min(1.0, max_documents / max(1, documents.count()))
+    # A tenth below the bound, which a hashed share then doesn't pass; which documents teach depends on their ids alone.
+    share = min(1.0, 0.9 * max_documents / max(1, documents.count()))
     of = 1 << 30
     rows = (
         documents.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(of)) < int(share * of))
         .where(F.col("label").isin(list(first.langs)) & F.col("body").isNotNull() & (F.length("body") <= MAX_BODY))
-        .limit(max_documents)
         .select("doc_id", "label", "body")
         .collect()
     )
@@ -264,7 +264,7 @@ def _runs(spans, p: np.ndarray, letters: np.ndarray, model: Model) -> list[tuple
 
     A stretch is rejected below the threshold (0.9 at least for fewer than 40 letters, 8 in Han and kana) and
     with fewer than ten letters (4 in Han and kana); it then belongs to the run it stands in or, at the
-    start, to the next. A text of which all is rejected has the language of the mean. A run too short to be more than
+    start, to the next. A text of which all is rejected is one run of no language (-1 minus the language of its mean, with that one's probability). A run too short to be more than
     a quotation keeps its language; it just doesn't count as one of the text's.
     """
     best, conf = p.argmax(axis=1), p.max(axis=1)
@@ -275,7 +275,7 @@ def _runs(spans, p: np.ndarray, letters: np.ndarray, model: Model) -> list[tuple
     if not sure.any():
         mean = (p * letters[:, None]).sum(axis=0) / max(total, 1)
         k = int(mean.argmax())
-        return [(spans[0][0], spans[-1][1], k, float(mean[k]), total)]
+        return [(spans[0][0], spans[-1][1], -1 - k, float(mean[k]), total)]
     out: list[list] = []
     for (start, end, _), k, c, s, n in zip(spans, best.tolist(), conf.tolist(), sure.tolist(), letters.tolist()):
         if out and (not s or out[-1][2] in (k, None)):
@@ -299,7 +299,9 @@ def model_wide(model: Model) -> list[int]:
     return _wide(model.langs)
 
 
-_OUT = "array<struct<char_start:int,char_end:int,lang:string,confidence:double,n_letters:int>>"
+#: What a text is said to be written in if the model rejects all of it.
+UNKNOWN = "und"
+_OUT = "array<struct<char_start:int,char_end:int,lang:string,confidence:double,n_letters:int,guess:string>>"
 
 
 def _detector(model_of):
@@ -307,7 +309,7 @@ def _detector(model_of):
         model = model_of.value
         words = _Words(model)
         kind = pa.list_(
-            pa.struct([("char_start", pa.int32()), ("char_end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_letters", pa.int32())])
+            pa.struct([("char_start", pa.int32()), ("char_end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_letters", pa.int32()), ("guess", pa.string())])
         )
         for b in batches:
             results: list[list | None] = []
@@ -349,13 +351,15 @@ def _detect(texts: list[str | None], words: _Words) -> list[list | None]:
             continue
         runs = _runs(kept, p[at : at + n], size[at : at + n], model)
         at += n
-        out.append([{"char_start": a, "char_end": b, "lang": model.langs[k], "confidence": c, "n_letters": m} for a, b, k, c, m in runs])
+        said = lambda k: (model.langs[k], model.langs[k]) if k >= 0 else (UNKNOWN, model.langs[-1 - k])
+        out.append([{"char_start": a, "char_end": b, "lang": said(k)[0], "confidence": c, "n_letters": m, "guess": said(k)[1]} for a, b, k, c, m in runs])
     return out
 
 
 def detect_languages(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, segments`` and the columns in ``keep``: the stretches of one language of every text, with confidence and letters.
 
+    A text that the model rejects as a whole is ``und``, with the probability of the language in ``guess``; elsewhere ``guess`` is ``lang``.
     Positions count code points of the text as it is. Null and blank texts and texts without a letter
     have no segments; every other text has at least one. Repeated rows come out as often as they went in; an empty
     table gives no rows. Columns not named are ignored.
@@ -366,12 +370,15 @@ def detect_languages(documents: DataFrame, model: Model, key: str = "doc_id", te
     return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"), *keep).select("doc_id", detector("__text").alias("segments"), *keep)
 
 
-def languages_of(detected: DataFrame, least_share: float = LEAST_SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, langs``: languages with at least ``least_share`` of the letters, each with share and confidence, largest first."""
+def languages_of(detected: DataFrame, least_share: float = LEAST_SHARE, keep: tuple[str, ...] = (), by: str = "lang") -> DataFrame:
+    """``doc_id, langs``: languages with at least ``least_share`` of the letters, each with share and confidence, largest first.
+
+    ``by`` is ``lang``, or ``guess`` to name the likeliest language of a rejected text too.
+    """
     total = F.expr("aggregate(segments, 0, (a, s) -> a + s.n_letters)")
-    names = F.expr("array_distinct(transform(segments, s -> s.lang))")
+    names = F.expr(f"array_distinct(transform(segments, s -> s.{by}))")
     per = F.expr(
-        """transform(__names, l -> aggregate(filter(segments, s -> s.lang = l), struct(0 as n, 0D as c),
+        f"""transform(__names, l -> aggregate(filter(segments, s -> s.{by} = l), struct(0 as n, 0D as c),
              (a, s) -> struct(a.n + s.n_letters as n, a.c + s.confidence * s.n_letters as c),
              a -> struct(a.n / __total as share, l as lang, a.c / a.n as confidence)))"""
     )

@@ -42,7 +42,8 @@ def _languages(spark: SparkSession, d: str, *keep: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return wrong_labels(languages_of(_languages(spark, d, "label"), keep=("label",)))
+    # A code of two letters is wanted of every text, so the likeliest language where the model rejects.
+    return wrong_labels(languages_of(_languages(spark, d, "label"), keep=("label",), by="guess"))
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:

@@ -110,3 +110,23 @@ def test_wrong_labels(spark):
 def test_no_samples():
     with pytest.raises(ValueError):
         L.fit([(None, "x"), ("en", None), ("en", "12")])
+
+
+FOREIGN = [
+    "Regeringen beslutade igår att höja skatten på bensin och diesel från och med nästa år, vilket många bilägare ogillar.",
+    "Hükümet dün akşam aldığı kararla önümüzdeki yıldan itibaren akaryakıt vergilerini artıracağını açıkladı ve halk buna karşı çıktı.",
+    "Η κυβέρνηση αποφάσισε χθες να αυξήσει τους φόρους στα καύσιμα από το επόμενο έτος και πολλοί οδηγοί αντέδρασαν.",
+]
+
+
+def test_languages_it_was_not_taught_are_unknown(model):
+    """They are rejected as a whole and keep the likeliest language as a guess; sentences of the samples' languages are not."""
+    for runs in L._detect(FOREIGN, L._Words(model)):
+        assert [r["lang"] for r in runs] == [L.UNKNOWN] and runs[0]["guess"] in model.langs and runs[0]["confidence"] < 0.95
+
+
+def test_rejection_is_rare_among_known_languages(model, spark):
+    own = [(r["lang"], r["sample_text"]) for r in spark.read.parquet(SAMPLES).collect()]
+    found = L._detect([t for _, t in own], L._Words(model))
+    assert sum(runs[0]["lang"] == L.UNKNOWN for runs in found) <= len(own) // 20
+    assert sum(runs[0]["guess"] == lang for (lang, _), runs in zip(own, found)) >= 0.97 * len(own)
