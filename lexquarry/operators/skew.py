@@ -90,11 +90,13 @@ def salted_lookup(df: DataFrame, key: str, spread: Column, dim: DataFrame, dim_k
     return salted.join(wide, on, how).drop("__dim_key", "__dim_salt")
 
 
-def lookup(df: DataFrame, key: str, spread: Column, dim: DataFrame, dim_key: str, most: int, min_share: float = HEAVY_SHARE) -> DataFrame:
+def lookup(
+    df: DataFrame, key: str, spread: Column, dim: DataFrame, dim_key: str, most: int, min_share: float = HEAVY_SHARE, how: str = "inner"
+) -> DataFrame:
     """``df`` joined with ``dim`` on ``key = dim_key``: where ``dim`` is counted to have at most ``most`` rows it is broadcast, else the join is ``salted_lookup``.
 
     For ``dim`` of narrow rows. ``dim_key`` leaves the result.
     """
     if dim.limit(most + 1).count() <= most:
-        return df.join(F.broadcast(dim), F.col(key) == F.col(dim_key)).drop(dim_key)
-    return salted_lookup(df, key, spread, dim, dim_key, heavy_keys(df, key, min_share)).drop("salt")
+        return df.join(F.broadcast(dim), F.col(key) == F.col(dim_key), how).drop(dim_key)
+    return salted_lookup(df, key, spread, dim, dim_key, heavy_keys(df, key, min_share), how).drop("salt")

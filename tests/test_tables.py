@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from lexquarry.operators.orphans import broken_references
-from lexquarry.operators.skew import dominant_keys, heavy_keys, salted_group_stats, salted_lookup
+from lexquarry.operators.skew import dominant_keys, heavy_keys, lookup, salted_group_stats, salted_lookup
 
 T0 = dt.datetime(2024, 1, 1)
 REFS = "k bigint, t timestamp_ntz, w string, bits string"
@@ -108,3 +108,22 @@ def test_salted_lookup_is_a_join(spark):
     assert sorted(inner.select("k", "v", "name").collect()) == sorted(df.join(dim, F.col("k") == F.col("id")).select("k", "v", "name").collect())
     assert salted_lookup(df, "k", F.col("v"), dim, "id", heavy, "left").count() == df.count()
     assert inner.where("k = 1").select("salt").distinct().count() > 1
+
+
+def test_lookup_gives_the_same_by_either_way(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None, 4]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint")
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (9, "z")], "d bigint, name string")
+    for how in ("inner", "left"):
+        few, many = (lookup(df, "k", F.col("i"), dim, "d", most, how=how).select("k", "i", "name").collect() for most in (10, 1))
+        key = lambda r: (r[1], r[2] or "")
+        assert sorted(map(tuple, few), key=key) == sorted(map(tuple, many), key=key) and len(few) > 300
+
+
+def test_repeats_of_one_member_are_combined_before_they_move(spark):
+    df = spark.createDataFrame([(7, 7, 1)] * 2000 + [(1, i, None) for i in range(5)], "term_id bigint, doc_id bigint, hit_count bigint")
+    stats = salted_group_stats(df)
+    assert {tuple(r) for r in stats.collect()} == {(7, 2000, 1, 2000), (1, 5, 5, 0)}
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan
