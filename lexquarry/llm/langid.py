@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.lookalike import _ANY_FOREIGN, _ANY_PLAIN, fold_mixed, normalise
-from lexquarry.plans.session import bounded
+from lexquarry.operators.skew import lookup
 
 #: Labelled sentences that training uses at most, by smallest sample_id; the fit is on the driver.
 MAX_SAMPLES = 20_000
@@ -299,6 +299,8 @@ def model_wide(model: Model) -> list[int]:
     return _wide(model.langs)
 
 
+#: Languages of indexes that are broadcast at most; beyond, the documents of frequent sources are salted.
+MOST_INDEXES = 10_000
 #: What a text is said to be written in if the model rejects all of it.
 UNKNOWN = "und"
 _OUT = "array<struct<char_start:int,char_end:int,lang:string,confidence:double,n_letters:int,guess:string>>"
@@ -431,8 +433,8 @@ def labelled(documents: DataFrame, info: DataFrame) -> DataFrame:
         .where(F.col("__named") == F.col("__last"))
         .drop("__last")
     )
-    joined = documents.join(bounded(named), F.col("source") == F.col("__index"), "left")
-    return joined.withColumn("label", F.coalesce(label_language(F.col("lang")), F.col("__named"))).drop("__index", "__named")
+    joined = lookup(documents, "source", F.col("doc_id"), named, "__index", MOST_INDEXES, how="left")
+    return joined.withColumn("label", F.coalesce(label_language(F.col("lang")), F.col("__named"))).drop("__named")
 
 
 def wrong_labels(languages: DataFrame) -> DataFrame:

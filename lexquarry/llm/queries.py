@@ -11,7 +11,7 @@ from lexquarry.llm.langid import detect_languages, fit_with_documents, labelled,
 from lexquarry.llm.lookalike import canonical_texts, lookalike_classes, lookalike_pairs
 from lexquarry.llm.mixing import mix_documents
 from lexquarry.llm.packing import container_check, container_report, pack_documents, split_by_packing
-from lexquarry.llm.splitting import split_documents
+from lexquarry.llm.splitting import split_check, split_documents
 from lexquarry.llm.termstats import term_statistics
 from lexquarry.llm.topn import top_postings
 from lexquarry.plans.session import table
@@ -121,9 +121,13 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"))
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    return split_check(split_documents(table(spark, d, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p6_classes, p7_found, p7_pack, p7_report, p7_check, p8_found, p8_mix, p8_report, p8_tempered, p9_found, p9_pieces)
+    for f in (p1_found, p1_stats, p4_found, p5_found, p5_segments, p5_languages, p6_found, p6_forms, p6_classes, p7_found, p7_pack, p7_report, p7_check, p8_found, p8_mix, p8_report, p8_tempered, p9_found, p9_pieces, p9_check)
 }
 
 _TERMS = """
@@ -278,5 +282,7 @@ where p.max_repeats * coalesce(h.tokens, 0) < p.target_share * (select sum(token
     + "select source, doc_id, cast(epoch as integer) epoch, n n_tokens, round(least(1.0, (epoch * tokens + start) / budget), 9) mix_pos from mix",
     "p8_report": _MIX.replace("$shares", _TARGETS) + _REPORT,
     "p8_tempered": _MIX.replace("$shares", _TEMPERED.replace("$entropy", str(ENTROPY))) + _REPORT,
+    "p9_check": _SIZES
+    + "select doc_id, cast(tokens as bigint) n_tokens, length(text) n_chars, true numbered, true covering, true limited from sizes where tokens > 400",
     "p9_found": _SIZES + "select doc_id from sizes where tokens > 400",
 }

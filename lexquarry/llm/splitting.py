@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm.sizes import TOKEN_PYTHON, token_count
@@ -108,3 +108,23 @@ def split_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
         "p.char_end",
         F.substring(F.col("__text"), F.col("p.char_start") + 1, F.col("p.char_end") - F.col("p.char_start")).alias("piece"),
     )
+
+
+def split_check(pieces: DataFrame) -> DataFrame:
+    """Per split document what right pieces have: the tokens they add up to without their overlaps, the characters they reach, and whether
+    they are numbered from 0, begin where the text begins, follow each other without a gap, move on, and stay within the limits."""
+    before = Window.partitionBy("doc_id").orderBy("piece_no")
+    seen = pieces.select(
+        "*",
+        F.lag("char_end", 1, 0).over(before).alias("reached"),
+        F.lag("char_start", 1, -1).over(before).alias("from"),
+        F.row_number().over(before).alias("no"),
+    )
+    every = lambda c: F.min(c.cast("int")) == 1
+    return seen.groupBy("doc_id").agg(
+        F.sum(F.col("n_tokens") - F.col("overlap_tokens")).alias("n_tokens"),
+        F.max("char_end").cast("bigint").alias("n_chars"),
+        every(F.col("piece_no") == F.col("no") - 1).alias("numbered"),
+        every((F.col("char_start") <= F.col("reached")) & (F.col("char_start") > F.col("from")) & (F.col("char_end") > F.col("reached"))).alias("covering"),
+        every((F.col("n_tokens") <= LIMIT) & (F.col("overlap_tokens") <= OVERLAP) & (F.char_length("piece") == F.col("char_end") - F.col("char_start"))).alias("limited"),
+    )
