@@ -24,7 +24,7 @@ from lexquarry.operators.resolve import analyze_phrase, analyze_queries, resolve
 from lexquarry.operators.score import bm25_of, half_up, span_rows
 from lexquarry.operators.score import search as ranked_search
 from lexquarry.operators.snippet import Snippeter
-from lexquarry.plans.session import ship
+from lexquarry.plans.session import cut, local_table, ship
 from lexquarry.sources.store import Manifest, Store
 
 _ID = re.compile(r"-?\d+")
@@ -217,7 +217,7 @@ class SearchIndex:
             out.append((_id_of(d["id"]), texts, json.dumps(d, ensure_ascii=False)))
             if progress:
                 progress(len(out), len(docs))
-        return self.spark.createDataFrame(out, _PREPARED)
+        return local_table(self.spark, out, _PREPARED)
 
     def _known(self, ids: DataFrame) -> DataFrame:
         if not self._manifest.total_documents:
@@ -300,7 +300,7 @@ class SearchIndex:
         if isinstance(ids, DataFrame):
             name = "doc_id" if "doc_id" in ids.columns else "id"
             return ids.select(F.col(name).cast("bigint").alias("doc_id")).where(F.col("doc_id").isNotNull())
-        return self.spark.createDataFrame([(_id_of(i),) for i in ids], "doc_id bigint")
+        return local_table(self.spark, [(_id_of(i),) for i in ids], "doc_id bigint")
 
     def has(self, doc_id: int) -> bool:
         return self.has_many([doc_id])[doc_id]
@@ -398,7 +398,7 @@ class SearchIndex:
         rows = [(i, r["term"], k) for i, own in enumerate(terms) for k, r in enumerate(own)]
         out: list[list] = [[] for _ in terms]
         if rows:
-            wanted = F.broadcast(self.spark.createDataFrame(rows, "of int, term string, rnk int"))  # fuzzy_max_expansions for each word
+            wanted = F.broadcast(local_table(self.spark, rows, "of int, term string, rnk int"))  # fuzzy_max_expansions for each word
             order = [F.col("hit_count").desc(), F.col("rnk"), F.col("doc_id")]
             best = Window.partitionBy("of").orderBy(*([order[1], order[0], order[2]] if close_first else order))
             hits = self.tables.postings.where(F.col("term").isin(sorted({r[1] for r in rows}))).join(wanted, "term")
@@ -426,7 +426,7 @@ class SearchIndex:
         ranked = sorted(scores, key=lambda d: (-scores[d], d))
         ids = ranked[offset : offset + limit]
         page = [(d, scores[d], offset + i + 1, len(scores)) for i, d in enumerate(ids)]
-        df = self.spark.createDataFrame(page, "doc_id bigint, score double, rank int, hits bigint")
+        df = local_table(self.spark, page, "doc_id bigint, score double, rank int, hits bigint")
         return SearchResult(ids, len(scores), {d: scores[d] for d in ranked}, self._hydrate(ids), df)
 
     def _spans(self, groups: dict[str, int], needed: int, ids: list[int]) -> dict[int, int]:
@@ -434,7 +434,7 @@ class SearchIndex:
         if len(set(groups.values())) < needed or not ids:
             return {}
         rows = self.tables.positions.where(F.col("term").isin(sorted(groups)) & F.col("doc_id").isin(ids))
-        of = F.broadcast(self.spark.createDataFrame(list(groups.items()), "term string, g int"))  # the terms of one phrase
+        of = F.broadcast(local_table(self.spark, list(groups.items()), "term string, g int"))  # the terms of one phrase
         return {r["doc_id"]: r["min_span"] for r in span_rows(rows.join(of, "term"), ["doc_id"], sorted(set(groups.values()))).collect()}
 
     def search_batch(self, queries: DataFrame, fuzzy: bool = False, as_you_type: bool = True, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -442,7 +442,7 @@ class SearchIndex:
         t = self.tables
         keywords = analyze_queries(queries, t.analyzer, as_you_type)
         longest = keywords.agg(F.max("kw_idx")).first()[0]
-        terms = resolve(keywords, t.lexicon, self.config, fuzzy, t.analyzer.language)
+        terms = cut(resolve(keywords, t.lexicon, self.config, fuzzy, t.analyzer.language))  # needed several times, at most fuzzy_max_expansions for each keyword
         return ranked_search(t, terms, self.config, fuzzy, limit, offset, (longest or 0) + 1)
 
     def search_boolean(
@@ -464,7 +464,7 @@ class SearchIndex:
         ranked = sorted(places, key=lambda d: (places[d], d))
         ids = ranked[offset : offset + limit]
         page = [(d, offset + i + 1, len(ranked)) for i, d in enumerate(ids)]
-        return SearchResult(ids, len(ranked), None, self._hydrate(ids), self.spark.createDataFrame(page, "doc_id bigint, rank int, hits bigint"))
+        return SearchResult(ids, len(ranked), None, self._hydrate(ids), local_table(self.spark, page, "doc_id bigint, rank int, hits bigint"))
 
     def inspect_query(self, phrase: str, fuzzy: bool = False, as_you_type: bool = True) -> dict:
         kws = analyze_phrase(phrase, self.tables.analyzer)["filtered"]

@@ -19,6 +19,7 @@ from lexquarry.functions.analysis import py_tokenize
 from lexquarry.functions.languages import ngram_size
 from lexquarry.operators.build import Analyzer, IndexTables
 from lexquarry.operators.resolve import KEYWORDS, resolve
+from lexquarry.plans.session import local_table
 
 OR, AND, NOT = "|", "&", "~"
 _BINDS = {OR: 1, AND: 2}
@@ -198,7 +199,7 @@ def leaf_keywords(spark: SparkSession, tree, analyzer: Analyzer) -> tuple[DataFr
     for leaf, i in no.items():
         tokens = analyzer.py_stem(py_tokenize(leaf.word, analyzer.language))
         rows += [(i, k, t, leaf.prefix and k == len(tokens) - 1) for k, t in enumerate(tokens)]
-    return spark.createDataFrame(rows, KEYWORDS), no
+    return local_table(spark, rows, KEYWORDS), no
 
 
 def search_boolean(

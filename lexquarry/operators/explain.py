@@ -9,6 +9,7 @@ from lexquarry.config import Config
 from lexquarry.operators.boolean import to_postfix
 from lexquarry.operators.build import IndexTables
 from lexquarry.operators.resolve import analyze_phrase, keyword_table, resolve
+from lexquarry.plans.session import local_table
 
 
 def explain_table(index: IndexTables, phrase: str, config: Config = Config(), fuzzy: bool = False, as_you_type: bool = True) -> DataFrame:
@@ -20,7 +21,7 @@ def explain_table(index: IndexTables, phrase: str, config: Config = Config(), fu
     said = analyze_phrase(phrase, index.analyzer)
     keywords = keyword_table(spark, [phrase], index.analyzer, as_you_type)
     rows = resolve(keywords, index.lexicon, config, fuzzy, index.analyzer.language).drop("is_last", "kw")
-    raw = spark.createDataFrame(list(enumerate(said["surviving_raw"])), "tok_idx int, raw string")
+    raw = local_table(spark, list(enumerate(said["surviving_raw"])), "tok_idx int, raw string")
     first = F.first_value("term").over(_by_keyword())
     kind = (
         F.when(F.col("term").isNull(), "none")

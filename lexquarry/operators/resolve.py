@@ -15,6 +15,7 @@ from lexquarry.functions.analysis import py_split, py_tokenize, tokenize
 from lexquarry.functions.languages import ngram_size
 from lexquarry.functions.stopwords import remove_stopwords
 from lexquarry.operators.build import Analyzer
+from lexquarry.plans.session import local_table
 
 KEYWORDS = "query_id bigint, kw_idx int, kw string, is_last boolean"
 
@@ -36,7 +37,7 @@ def keyword_table(spark: SparkSession, phrases: list[str], analyzer: Analyzer =
     for q, phrase in enumerate(phrases):
         kws = analyze_phrase(phrase, analyzer)["filtered"]
         rows += [(q, i, kw, as_you_type and i == len(kws) - 1) for i, kw in enumerate(kws)]
-    return spark.createDataFrame(rows, KEYWORDS)
+    return local_table(spark, rows, KEYWORDS)
 
 
 def analyze_queries(queries: DataFrame, analyzer: Analyzer = Analyzer(), as_you_type: bool = True) -> DataFrame:

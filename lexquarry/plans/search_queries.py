@@ -20,7 +20,7 @@ from lexquarry.operators.highlight import Highlighter
 from lexquarry.operators.resolve import analyze_queries, keyword_table, resolve
 from lexquarry.operators.score import bm25, fetch, min_spans, search
 from lexquarry.operators.snippet import Snippeter, beginning_column
-from lexquarry.plans.session import cut, ensure_checkpoint_dir, table
+from lexquarry.plans.session import cut, ensure_checkpoint_dir, local_table, table
 
 #: Stopwords of the queries that have a fixed list on both sides.
 STOPWORDS = ("the", "of", "a", "and", "de", "la", "der", "die", "le", "les", "el", "il", "het", "een", "o", "in")
@@ -195,7 +195,7 @@ def bm25_proximity(spark, d):
 def bm25_batch(spark, d):
     """All phrases at once, from a table, the last word of each as a beginning, with proximity."""
     index = _index(spark, d, keep=True)
-    queries = spark.createDataFrame(list(BATCH), "query_id bigint, phrase string")
+    queries = local_table(spark, list(BATCH), "query_id bigint, phrase string")
     keywords = analyze_queries(queries)
     return search(index, resolve(keywords, index.lexicon), Config(), False, 10, 0, 3)
 
@@ -279,7 +279,7 @@ def bm25_stemmed(spark, d):
 
 
 def language_table(spark, d):
-    return spark.createDataFrame(lang.table_rows(), "tag string, name string, has_stopwords boolean, has_stemmer boolean, ngram_size int")
+    return local_table(spark, lang.table_rows(), "tag string, name string, has_stopwords boolean, has_stemmer boolean, ngram_size int")
 
 
 def stemmed_positions(spark, d):
@@ -360,7 +360,7 @@ def lifecycle(spark, d):
     say("overwritten", SearchIndex(spark, f"{home}/copy", force=True).count())
     docs.limit(1).write.parquet(f"{home}/other")
     say("no index to overwrite", _refuses(lambda: SearchIndex(spark, f"{home}/other", force=True)))
-    return spark.createDataFrame(seen, "step string, value bigint")
+    return local_table(spark, seen, "step string, value bigint")
 
 
 def single_searches(spark, d):
@@ -371,7 +371,7 @@ def single_searches(spark, d):
     for q, phrase in BATCH:
         found = index.search(phrase, as_you_type=False, limit=5)
         rows += [(q, doc, score, found.hits, doc in found.ids) for doc, score in found.scores.items()]
-    return spark.createDataFrame(rows, "query_id bigint, doc_id bigint, score double, hits bigint, shown boolean")
+    return local_table(spark, rows, "query_id bigint, doc_id bigint, score double, hits bigint, shown boolean")
 
 
 def single_boolean(spark, d):
@@ -381,7 +381,7 @@ def single_boolean(spark, d):
     for q, (expression, as_you_type, limit, offset) in enumerate(BOOLEANS.values()):
         found = index.search_boolean(expression, as_you_type, limit, offset)
         rows += [(q, doc, offset + i + 1, found.hits) for i, doc in enumerate(found.ids)]
-    return spark.createDataFrame(rows, "query_id int, doc_id bigint, rank int, hits bigint")
+    return local_table(spark, rows, "query_id int, doc_id bigint, rank int, hits bigint")
 
 
 def inspect_nested(spark, d):
@@ -391,7 +391,7 @@ def inspect_nested(spark, d):
     said = index.inspect_query("cold enginne rac", True)
     rows = [(t["raw"], t["processed"], t["is_last"], t["match_type"], t["num_hits"], t["num_docs"], len(t["wordlist_rows"])) for t in said["tokens"]]
     rows.append((" ".join(said["boolean_postfix"]), " ".join(said["raw_tokens"]), said["stemmer_active"], "query", said["index_info"]["total_documents"], 0, 0))
-    return spark.createDataFrame(rows, "raw string, processed string, is_last boolean, match_type string, num_hits bigint, num_docs bigint, n_terms int")
+    return local_table(spark, rows, "raw string, processed string, is_last boolean, match_type string, num_hits bigint, num_docs bigint, n_terms int")
 
 
 def insert_many(spark, d):
@@ -443,7 +443,7 @@ def get_many(spark, d):
 def hydrated_search(spark, d):
     index = _stored(spark)
     index.insert_many(_fields(spark, d, "title", "body"))
-    queries = spark.createDataFrame(list(BATCH), "query_id bigint, phrase string")
+    queries = local_table(spark, list(BATCH), "query_id bigint, phrase string")
     page = index.search_batch(queries, as_you_type=False, limit=5)
     stored = index.get_table(page.select("doc_id").distinct())
     return page.join(stored, "doc_id").select("query_id", "doc_id", "rank", "hits", F.get_json_object("data", "$.title").alias("title"))

@@ -8,7 +8,10 @@ import re
 import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +49,13 @@ def bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A few rows of the driver as a table that is part of the plan: by Arrow, without a Python worker or a job to make it."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(kind.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kind.names), kind)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as the session runs tasks, if it reads few files that make fewer; else as it is.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.errors import IndexIOError
 from lexquarry.operators.build import Analyzer, IndexTables, token_rows
-from lexquarry.plans.session import spread
+from lexquarry.plans.session import local_table, spread
 from lexquarry.sources.files import Files
 
 _KIND = "inverted-index"
@@ -94,7 +94,7 @@ class Store:
             if name != "deletes" or manifest.deletes.get(s)
         ]
         if not parts:
-            return self.spark.createDataFrame([], schema + ", seg int")
+            return local_table(self.spark, [], schema + ", seg int")
         return reduce(DataFrame.unionByName, parts)
 
     def _alive(self, manifest: Manifest, rows: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ class Store:
         else:
             lexicon = changes.groupBy("term").agg(F.sum("num_hits").alias("num_hits"), F.sum("num_docs").alias("num_docs")).where("num_docs > 0")
         n = manifest.total_documents
-        stats = self.spark.createDataFrame([(n, manifest.total_length / n if n else 0.0)], "total_documents bigint, avg_doc_length double")
+        stats = local_table(self.spark, [(n, manifest.total_length / n if n else 0.0)], "total_documents bigint, avg_doc_length double")
         return IndexTables(
             postings.select("term", "doc_id", "hit_count", "length"),
             postings.select("term", "doc_id", F.explode(F.col("positions").cast("array<bigint>")).alias("position")),
@@ -157,9 +157,9 @@ class Store:
             n, length = self.spark.read.parquet(f"{at}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
             out = replace(out, total_documents=out.total_documents + n, total_length=out.total_length + length)
         else:
-            empty = self.spark.createDataFrame([], "doc_id bigint, length bigint, data string")
+            empty = local_table(self.spark, [], "doc_id bigint, length bigint, data string")
             empty.write.parquet(f"{at}/docs")
-            self.spark.createDataFrame([], _POSTINGS).write.parquet(f"{at}/postings")
+            local_table(self.spark, [], _POSTINGS).write.parquet(f"{at}/postings")
         if delete is not None:
             delete.select("doc_id").write.parquet(f"{at}/deletes")
             gone = self.spark.read.parquet(f"{at}/deletes")
