@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexquarry.llm.sizes import token_count
-from lexquarry.plans.session import cut
+from lexquarry.plans.session import cut, local_table
 
 #: A plan is a list of sources that someone wrote; larger ones are refused rather than gathered.
 MAX_SOURCES = 100_000
@@ -169,7 +169,7 @@ def mix_documents(
         (r["source"], float(r["target_share"]), r["max_repeats"], t, n, float(a), float(take), n // BLOCK_ROWS + 1)
         for r, (t, n), take in zip(planned, own, takes)
     ]
-    budgets = spark.createDataFrame(rows, _BUDGETS)
+    budgets = local_table(spark, rows, _BUDGETS)
 
     per = budgets.where((F.col("budget") > 0) & (F.col("source_tokens") > 0)).select(
         "source",

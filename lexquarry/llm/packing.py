@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm.sizes import token_count
-from lexquarry.plans.session import cut
+from lexquarry.plans.session import cut, local_table
 
 #: A plan is a list of sources that someone wrote; larger ones are refused rather than gathered.
 MAX_SOURCES = 100_000
@@ -80,7 +80,7 @@ def successor_sweep(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _opened(spark, rows: list[tuple]) -> DataFrame:
     """Empty containers ``source, size, kind, id`` for rows ``source, capacity, first, count``."""
-    wide = spark.createDataFrame(rows, "source string, size bigint, first bigint, n bigint")
+    wide = local_table(spark, rows, "source string, size bigint, first bigint, n bigint")
     lots = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / OPENED_TOGETHER))))
     df = lots.repartition("source", "i").select(
         "source", "size", (F.col("first") + F.col("i") * OPENED_TOGETHER).alias("first"), F.least(F.lit(OPENED_TOGETHER), F.col("n") - F.col("i") * OPENED_TOGETHER).alias("n")
@@ -108,15 +108,14 @@ def best_fit(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
         short = [(s, r["widest"] or 0, capacities[s]) for s, r in state.items() if r["largest"] > (r["widest"] or 0)]
         opened = []
         if short:
-            above = waiting.join(F.broadcast(spark.createDataFrame(short, "source string, widest bigint, capacity bigint")), "source").where("size > widest")
+            above = waiting.join(F.broadcast(local_table(spark, short, "source string, widest bigint, capacity bigint")), "source").where("size > widest")
             big = F.count(F.when(F.col("size") * 2 > F.col("capacity"), 1))
             for s, total, n in above.groupBy("source").agg(F.sum("size"), big).collect():
                 count = max(math.ceil(total / capacities[s]), n)
                 opened.append((s, capacities[s], bins[s], count))
                 bins[s] += count
         new = {s: n for s, _, _, n in opened}
-        known = spark.createDataFrame(
-            [(s, r["largest"], r["smallest"], max(1, -(-2 * r["waiting"] // max(1, (r["open"] or 0) + new.get(s, 0))))) for s, r in state.items()],
+        known = local_table(spark, [(s, r["largest"], r["smallest"], max(1, -(-2 * r["waiting"] // max(1, (r["open"] or 0) + new.get(s, 0))))) for s, r in state.items()],
             "source string, largest bigint, smallest bigint, most bigint",
         )
         live = [x for x in (gaps, _opened(spark, opened) if opened else None) if x is not None]
@@ -158,7 +157,7 @@ def pack_documents(documents: DataFrame, plan: DataFrame, size: str | None = Non
     if len(capacities) > MAX_SOURCES:
         raise ValueError(f"a plan may name at most {MAX_SOURCES} sources")
     spark = documents.sparkSession
-    known = F.broadcast(spark.createDataFrame(list(capacities.items()), "source string, capacity bigint"))  # at most MAX_SOURCES rows
+    known = F.broadcast(local_table(spark, list(capacities.items()), "source string, capacity bigint"))  # at most MAX_SOURCES rows
     items = cut(
         documents.where(F.col("doc_id").isNotNull())
         .select("source", F.col("doc_id").alias("id"), tokens.alias("tokens"))
