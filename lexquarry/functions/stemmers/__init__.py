@@ -25,6 +25,7 @@ from lexquarry.functions.stemmers.polish import stem as polish
 from lexquarry.functions.stemmers.romance import french, italian, portuguese, spanish
 from lexquarry.functions.stemmers.romanian import stem as romanian
 from lexquarry.functions.stemmers.russian import stem as russian
+from lexquarry.functions.stemmers.turkish import stem as turkish
 from lexquarry.functions.stemmers.uralic import finnish, hungarian
 
 STEMMERS: dict[str, Callable[[str], str]] = {
@@ -51,6 +52,7 @@ STEMMERS: dict[str, Callable[[str], str]] = {
     "ro": romanian,
     "ru": russian,
     "sv": swedish,
+    "tr": turkish,
 }
 
 

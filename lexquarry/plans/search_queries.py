@@ -282,6 +282,11 @@ def language_table(spark, d):
     return local_table(spark, lang.table_rows(), "tag string, name string, has_stopwords boolean, has_stemmer boolean, ngram_size int")
 
 
+def language_tags(spark, d):
+    """Every language and the length of its n-grams."""
+    return local_table(spark, [(r[0], r[4]) for r in lang.table_rows()], "tag string, ngram_size int")
+
+
 def stemmed_positions(spark, d):
     a = Analyzer("en", STOPWORDS, True)
     return token_rows(document_tokens(table(spark, d, "documents"), "doc_id", ["title", "body"], a), a)
@@ -465,7 +470,7 @@ QUERIES = {
         ngrams_and_characters_with_offsets, title_bigrams, title_trigrams, stopword_filter, query_analysis, postings, lexicon, doc_lengths, corpus_stats,
         positions, multi_field_positions, exact_terms, prefix_terms, fuzzy_terms, levenshtein_terms, bm25_exact, bm25_multi, bm25_prefix,
         bm25_fuzzy, bm25_maxdocs, bm25_page, bm25_tuned, bm25_proximity, bm25_batch, part_search, proximity_spans, inspect_query, highlight,
-        snippet_beginning, snippet, snippet_one, lifecycle, single_searches, single_boolean, inspect_nested, stems, bm25_stemmed, language_table, stemmed_positions, insert_many,
+        snippet_beginning, snippet, snippet_one, lifecycle, single_searches, single_boolean, inspect_nested, stems, bm25_stemmed, language_table, language_tags, stemmed_positions, insert_many,
         upsert_many, update_many, delete_many, has_many, get_many, hydrated_search, metadata_kept,
     )
 } | {name: partial(_boolean, *args) for name, args in BOOLEANS.items()}
@@ -691,6 +696,9 @@ b as (select *, 120 - instr(reverse(head), ' ') space, instr(head, ' ') > 0 has
 beginning as (select doc_id, case when length(text) <= 120 then text
   else regexp_replace(case when has and space > 60 then substr(head, 1, space) else head end, '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g') || ' …' end snippet from b)
 select doc_id, coalesce(s.snippet, g.snippet) snippet from beginning g left join shown s using (doc_id)""",
+    "language_tags": """
+select tag, case when tag in ('zh', 'ja', 'ko') then 2 when tag = 'th' then 3 else 0 end ngram_size from (select unnest(string_split(
+  'af ar bg bn br ca cs da de el en eo es et eu fa fi fr ga gl gu ha he hi hr hu hy id it ja ko ku la lt lv mr ms ne nl no pl pt ro ru sk sl so sr st sv sw ta th tl tr uk ur vi yi yo zh zu', ' ')) tag)""",
     "lifecycle": _steps(),
     "single_searches": f"""
 with u as (select doc_id k, {_BOTH} x from documents), {_built("u", "k", "x")}, {_keywords(PHRASES, False)}, {_expanded(False)} {_scored(False)}
