@@ -93,7 +93,7 @@ STEMS = {
     "ga": "bhfuil fuil dtithe tithe",
     "id": "bukunya buku membaca baca pertandingan tanding berlari lari",
     "tr": "adamlar adam evlerimizde ev kitaplarımızdan kitap arabalarındaki araba gelirken gelir istanbul'da istanbul güzeldir güzel ad ad soyad soyad "
-    "kalemler kalem okuldan okul masasındaki masas kanadı kanat öğretmenlerinin öğretmen",
+    "kalemler kalem okuldan okul masasındaki masas kanadı kanadı öğretmenlerinin öğretmen",
     "hy": "ընկերներ ընկեր",
     "hi": "किताबें किताब लड़कियाँ लड़क जीती जीत बनाइए बन करना कर जाना ज आना आन ना न",
     "ne": "घरहरूमा घर गरेको गर गएकी ग",
