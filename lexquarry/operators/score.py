@@ -93,7 +93,7 @@ def min_spans(index: IndexTables, fetched: DataFrame, docs: DataFrame, n_groups:
     """``query_id, doc_id, min_span``: the smallest window of positions that holds a term of every keyword that was found.
 
     A term of two keywords belongs to the last. Queries with one keyword, and documents without one of them, have no
-    row. ``n_groups``: keywords of the longest query; queries of about as many keywords are worked on together (2, 3-4, 5-8, ...), so short ones don't
+    row. ``n_groups``: keywords of the longest query; queries of about as many keywords are worked on together (2-4, 5-8, 9-16, ...), so short ones don't
     pay for long ones.
     """
     found = fetched.select("query_id", "kw_idx").distinct()
@@ -103,15 +103,15 @@ def min_spans(index: IndexTables, fetched: DataFrame, docs: DataFrame, n_groups:
     ).where(F.col("needed") > 1)
     last_of = fetched.groupBy("query_id", "term").agg(F.max("kw_idx").alias("kw_idx"))
     wanted = last_of.join(numbered, ["query_id", "kw_idx"]).drop("kw_idx").join(docs.select("query_id", "doc_id"), "query_id")
-    parts, few = [], 1
+    parts, few, most = [], 1, 4
     while few < max(2, n_groups):
-        own = wanted.where(F.col("needed").between(few + 1, few * 2))
+        own = wanted.where(F.col("needed").between(few + 1, most))
         if index.located is None:
             rows = index.positions.join(own, ["term", "doc_id"])
         else:  # of a frequent term only the postings of ranked documents are taken apart
             rows = index.located.join(own, ["term", "doc_id"]).withColumn("position", F.explode(F.col("positions").cast("array<bigint>")))
-        parts.append(span_rows(rows, ["query_id", "doc_id"], list(range(few * 2)), F.col("needed")))
-        few *= 2
+        parts.append(span_rows(rows, ["query_id", "doc_id"], list(range(min(most, max(2, n_groups)))), F.col("needed")))
+        few, most = most, most * 2
     return reduce(DataFrame.unionByName, parts)
 
 
