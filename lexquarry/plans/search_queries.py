@@ -632,6 +632,68 @@ cut as (select doc_id, p, 0 k, 0 i, term from parts where not g
 select doc_id, cast(row_number() over (partition by doc_id order by p, k, i) - 1 as integer) position, term from cut"""
 
 
+def _stems(source: str) -> str:
+    """English stems of the lower-case words ``term`` of ``source``, without apostrophes, as ``stm(term, stem)``: one column for each step."""
+    short = "(regexp_matches({0}, 'past$') or regexp_matches({0}, '^[aeiouy][^aeiouy]$') or regexp_matches({0}, '[^aeiouy][aeiouy][^aeiouywxY]$'))"
+    cut = lambda w, n: f"left({w}, length({w}) - {n})"
+    second = {
+        "ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion", "biliti": "ble", "lessli": "less",
+        "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al", "ousli": "ous", "iviti": "ive", "fulli": "ful", "ogist": "og", "enci": "ence",
+        "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble",
+    }
+    third = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+    mapped = lambda end, table: f"case {end} " + " ".join(f"when '{a}' then '{b}'" for a, b in table.items()) + " end"
+    return f"""
+s0 as (select term, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g') w from (select distinct term from {source})),
+s1 as (select *, regexp_extract(w, '^(arsen|commun|emerg|gener|inter|later|organ|past|univers)') pre, regexp_extract(w, '^[^aeiouy]*[aeiouy]+[^aeiouy]') vc from s0),
+s2 as (select *, case when pre <> '' then length(pre) when vc <> '' then length(vc) else length(w) end r1 from s1),
+s3 as (select *, regexp_extract(substr(w, r1 + 1), '^[^aeiouy]*[aeiouy]+[^aeiouy]') vc2 from s2),
+s4 as (select term, r1, case when vc2 <> '' then r1 + length(vc2) else length(w) end r2,
+         case when regexp_matches(w, 'sses$') then {cut("w", 2)}
+              when regexp_matches(w, '(ied|ies)$') then case when length(w) > 4 then {cut("w", 2)} else {cut("w", 1)} end
+              when regexp_matches(w, '(us|ss)$') then w
+              when regexp_matches(w, 's$') and regexp_matches({cut("w", 2)}, '[aeiouy]') then {cut("w", 1)} else w end a from s3),
+s5 as (select *, regexp_extract(a, '(eedly|ingly|edly|eed|ing|ed)$') e, left(a, length(a) - length(regexp_extract(a, '(eedly|ingly|edly|eed|ing|ed)$'))) st from s4),
+s6 as (select term, r1, r2,
+         case when e = '' then a
+              when e in ('eed', 'eedly') then case when length(st) >= r1 and st not in ('succ', 'proc', 'exc') then st || 'ee' else a end
+              when e = 'ing' and regexp_matches(st, '^[^aeiouy]y$') then left(st, 1) || 'ie'
+              when e = 'ing' and st in ('even', 'cann', 'inn', 'earr', 'herr', 'out') then a
+              when not regexp_matches(st, '[aeiouy]') then a
+              when regexp_matches(st, '(at|bl|iz)$') then st || 'e'
+              when regexp_matches(st, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then case when regexp_matches(st, '^[aeo]..$') then st else {cut("st", 1)} end
+              when length(st) = r1 and {short.format("st")} then st || 'e' else st end b from s5),
+s7 as (select term, r1, r2, case when length(b) > 2 and regexp_matches(b, '[^aeiouy][yY]$') then {cut("b", 1)} || 'i' else b end c from s6),
+s8 as (select *, regexp_extract(c, '({"|".join(second)}|ogi|li)$') e from s7),
+s9 as (select term, r1, r2, case when e = '' or length(c) - length(e) < r1 then c
+         when e = 'ogi' then case when regexp_matches(c, 'logi$') then {cut("c", 1)} else c end
+         when e = 'li' then case when regexp_matches(c, '[cdeghkmnrt]li$') then {cut("c", 2)} else c end
+         else left(c, length(c) - length(e)) || {mapped("e", second)} end d from s8),
+s10 as (select *, regexp_extract(d, '({"|".join(third)})$') e from s9),
+s11 as (select term, r1, r2, case when e = '' or length(d) - length(e) < case when e = 'ative' then r2 else r1 end then d
+          else left(d, length(d) - length(e)) || {mapped("e", third)} end f from s10),
+s12 as (select *, regexp_extract(f, '(ement|ance|ence|able|ible|ment|ant|ent|ism|ate|iti|ous|ive|ize|ion|al|er|ic)$') e from s11),
+s13 as (select term, r1, r2, case when e = '' or length(f) - length(e) < r2 or e = 'ion' and not regexp_matches(f, '[st]ion$') then f
+          else left(f, length(f) - length(e)) end g from s12),
+stm as (select term, case when length(term) < 3 then term
+          when term in ('andes', 'atlas', 'bias', 'cosmos', 'howe', 'news', 'sky') then term
+          when term in ('skis', 'idly', 'gently', 'singly') then {cut("term", 1)} when term = 'skies' then 'sky'
+          when term in ('ugly', 'early', 'only') then {cut("term", 1)} || 'i'
+          when regexp_matches(g, 'e$') and (length(g) > r2 or length(g) > r1 and not {short.format(cut("g", 1))}) then replace({cut("g", 1)}, 'Y', 'y')
+          when regexp_matches(g, 'll$') and length(g) > r2 then replace({cut("g", 1)}, 'Y', 'y') else replace(g, 'Y', 'y') end stem from s13)"""
+
+
+def _built_stemmed() -> str:
+    return f"""
+tl0 as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_RE}') l from documents),
+tok0 as (select doc_id, unnest(range(len(l))) p, unnest(l) term from tl0), {_stems("tok0")},
+tok as (select doc_id, cast(row_number() over (partition by doc_id order by p) - 1 as integer) p, stem term from tok0 join stm using (term) where term not in {_listed(STOPWORDS)}),
+post as (select term, doc_id, count(*) hit_count from tok group by 1, 2),
+lex as (select term, cast(sum(hit_count) as bigint) num_hits, count(*) num_docs from post group by 1),
+len as (select tl0.doc_id, count(tok.doc_id) length from tl0 left join tok on tok.doc_id = tl0.doc_id group by 1),
+st as (select count(*) total_documents, avg(length) avg_doc_length from len)"""
+
+
 #: Each token of documents.text with its place and the characters before it.
 _PLACED = f"""
 low as (select doc_id, text, lower(text) x from documents where text is not null),
@@ -699,6 +761,14 @@ select doc_id, coalesce(s.snippet, g.snippet) snippet from beginning g left join
     "language_tags": """
 select tag, case when tag in ('zh', 'ja', 'ko') then 2 when tag = 'th' then 3 else 0 end ngram_size from (select unnest(string_split(
   'af ar bg bn br ca cs da de el en eo es et eu fa fi fr ga gl gu ha he hi hr hu hy id it ja ko ku la lt lv mr ms ne nl no pl pt ro ru sk sl so sr st sv sw ta th tl tr uk ur vi yi yo zh zu', ' ')) tag)""",
+    "stems": f"with {_built()}, {_stems('lex')} select term, stem from stm",
+    "bm25_stemmed": f"with {_built_stemmed()}, {_keywords(['race engin'], True)}, {_expanded(False)} {_scored(False)} {_spans(2, 500)} {_page(100, 0, 1.0)}",
+    "stemmed_positions": f"""
+with fields as (select doc_id, 0 f, title x from documents union all select doc_id, 1, body from documents),
+tl0 as (select doc_id, f, regexp_extract_all(lower(coalesce(x, '')), '{_RE}') l from fields),
+tok0 as (select doc_id, f, unnest(range(len(l))) p, unnest(l) term from tl0), {_stems("tok0")}
+select doc_id, cast(row_number() over (partition by doc_id order by f, p) - 1 as integer) "position", stem term
+from tok0 join stm using (term) where term not in {_listed(STOPWORDS)}""",
     "lifecycle": _steps(),
     "single_searches": f"""
 with u as (select doc_id k, {_BOTH} x from documents), {_built("u", "k", "x")}, {_keywords(PHRASES, False)}, {_expanded(False)} {_scored(False)}
