@@ -1,8 +1,8 @@
 """From phrases to keywords and from keywords to terms of the lexicon.
 
 Keywords travel as a table ``query_id, kw_idx, kw, is_last``, so one plan answers any number of
-queries. Prefix and fuzzy matching are hash joins: on the term's own prefixes of the lengths that
-occur among the keywords, and on the first characters that a fuzzy match must share together with its length.
+queries. Prefix and fuzzy matching are hash joins: on the term's own first letters (as many as the
+keywords have, up to six), and on the first characters that a fuzzy match must share together with its length.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from lexquarry.functions.stopwords import remove_stopwords
 from lexquarry.operators.build import Analyzer
 from lexquarry.plans.session import local_table
 
+#: First letters by which beginnings and terms are joined, at most.
+PREFIX_KEY = 6
 KEYWORDS = "query_id bigint, kw_idx int, kw string, is_last boolean"
 
 
@@ -69,29 +71,31 @@ def resolve(
     cap = config.fuzzy_max_expansions
     kws = keywords.withColumn("kw_len", F.char_length("kw"))
     lex = lexicon.select("term", "num_hits", "num_docs")
-    by_kw = Window.partitionBy("query_id", "kw_idx")
     none = F.lit(None).cast("int").alias("distance")
     as_prefix = F.col("is_last") if not ngram_size(language) else F.lit(False)
 
     exact = kws.where(~as_prefix).join(lex, F.col("kw") == F.col("term")).select(
         *KEY_COLUMNS, "term", "num_hits", "num_docs", none, F.lit(1).alias("rnk")
     )
-    lengths = kws.where(as_prefix).agg(F.sort_array(F.collect_set("kw_len")).alias("lengths"))
+    # Each beginning once; it meets the terms that share its first letters, up to PREFIX_KEY of them, so a term is looked up by as many starts at most.
+    beginnings = kws.where(as_prefix).select("kw").distinct().withColumn("start", F.substring("kw", 1, PREFIX_KEY))
+    lengths = beginnings.agg(F.sort_array(F.collect_set(F.char_length("start"))).alias("lengths"))
     starts = (
-        lex.join(F.broadcast(lengths))  # one row: the distinct lengths of the keywords
+        lex.join(F.broadcast(lengths))  # one row of at most PREFIX_KEY lengths
         .withColumn("n", F.explode("lengths"))
         .where(F.char_length("term") >= F.col("n"))
         .withColumn("start", F.expr("substring(term, 1, n)"))
         .drop("n", "lengths")
     )
-    shortest = by_kw.orderBy(F.char_length("term"), F.col("num_hits").desc(), "term")
-    prefixed = (
-        kws.where(as_prefix)
-        .join(starts, F.col("kw") == F.col("start"))
+    shortest = Window.partitionBy("kw").orderBy(F.char_length("term"), F.col("num_hits").desc(), "term")
+    begun = (
+        beginnings.join(starts, "start")
+        .where(F.col("term").startswith(F.col("kw")))
         .withColumn("rnk", F.row_number().over(shortest))
         .where(F.col("rnk") <= cap)
-        .select(*KEY_COLUMNS, "term", "num_hits", "num_docs", none, "rnk")
+        .select("kw", "term", "num_hits", "num_docs", "rnk")
     )
+    prefixed = kws.where(as_prefix).join(begun, "kw").select(*KEY_COLUMNS, "term", "num_hits", "num_docs", none, "rnk")
     found = exact.unionByName(prefixed)
     if not fuzzy:
         return found
