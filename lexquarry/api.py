@@ -245,7 +245,7 @@ class SearchIndex:
             raise QueryError("every document needs an integer id")
         if bad:
             raise QueryError("ids given twice: " + ", ".join(str(r["doc_id"]) for r in bad))
-        if s := self._some(self._known(rows.select("doc_id"))):
+        if self._manifest.total_documents and (s := self._some(self._known(rows.select("doc_id")))):
             raise QueryError(f"ids already there: {s}")
         before = self._manifest.total_documents
         self._commit(self._store.write_segment(self._manifest, rows, None))
