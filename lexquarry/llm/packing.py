@@ -30,6 +30,8 @@ from lexquarry.plans.session import cut, local_table
 MAX_SOURCES = 100_000
 #: Containers of a source that are opened by one task.
 OPENED_TOGETHER = 10_000
+#: Documents that one container takes in one superstep at most; the rest follow in the next.
+MOST_UNITS = 1_000_000
 
 _GAP, _DOCUMENT = 0, 1
 
@@ -119,7 +121,7 @@ def best_fit(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
             "source string, largest bigint, smallest bigint, most bigint",
         )
         live = [x for x in (gaps, _opened(spark, opened) if opened else None) if x is not None]
-        units = F.greatest(F.lit(1), F.least("most", F.floor(F.col("size") / F.col("largest"))))
+        units = F.greatest(F.lit(1), F.least("most", F.floor(F.col("size") / F.col("largest")), F.lit(MOST_UNITS)))
         events = (
             reduce(DataFrame.unionByName, live)
             .join(F.broadcast(known), "source")
